@@ -14,12 +14,18 @@ def _col(c: Column | str) -> Column:
 
 
 def round_even(col: Column | str, digits: int = 0) -> Column:
-    """Round half to even; ``F.round`` rounds half up."""
-    return F.bround(col, digits)
+    """Round half to even.
+
+    ``F.round`` rounds half up. ``F.bround`` works on the printed decimal of a double,
+    which makes ties of values that are none in binary, and builds a decimal per row;
+    scaling and ``rint`` stay on doubles and decide by the stored value.
+    """
+    scale = float(10**digits)
+    return F.rint(_col(col) * scale) / scale
 
 
 def thousands(col: Column | str) -> Column:
-    return F.bround(_col(col) / 1000, 2)
+    return round_even(_col(col) / 1000, 2)
 
 
 def log_odds(col: Column | str) -> Column:

@@ -14,13 +14,18 @@ from folkscope.functions.numbers import log_odds
 from folkscope.operators.missing import numeric_columns
 from folkscope.operators.models import INTERCEPT, BinomialFit, Design, design, fit_binomial
 from folkscope.operators.ordering import top_n_ties
+from folkscope.session import materialise
+
+# A leverage closer to one than this is one, up to rounding.
+FULL_LEVERAGE_GAP = 1e-9
 
 
 def augment(df: DataFrame, fit: BinomialFit) -> DataFrame:
     """Fitted value, residuals, leverage and Cook's distance of every complete row.
 
     Leverage is w x' V x with the p-by-p covariance V as constants, so each row is
-    computed on its own and the n-by-n hat matrix never exists.
+    computed on its own and the n-by-n hat matrix never exists. A row with leverage
+    one fits itself: its standardised residual and distance are undefined, hence null.
     """
     terms = fit.plan.terms()
     m = F.col(fit.successes).cast("double")
@@ -37,15 +42,19 @@ def augment(df: DataFrame, fit: BinomialFit) -> DataFrame:
     ]
     unit = F.when(m > 0, m * F.ln(m / (n * p))).otherwise(0.0)
     unit = unit + F.when(n - m > 0, (n - m) * F.ln((n - m) / (n * (1 - p)))).otherwise(0.0)
-    rows = rows.withColumn("hat", n * p * (1 - p) * reduce(add, quadratic))
+    rows = rows.withColumns(
+        {
+            "hat": n * p * (1 - p) * reduce(add, quadratic),
+            "resid": F.signum(m - n * p) * F.sqrt(F.greatest(2 * unit, F.lit(0.0))),
+            "resid_pearson": (m - n * p) / F.sqrt(n * p * (1 - p)),
+        }
+    )
     hat = F.col("hat")
-    pearson = (m - n * p) / F.sqrt(n * p * (1 - p))
+    free = hat < 1 - FULL_LEVERAGE_GAP
     return rows.withColumns(
         {
-            "resid": F.signum(m - n * p) * F.sqrt(F.greatest(2 * unit, F.lit(0.0))),
-            "resid_pearson": pearson,
-            "std_resid": F.signum(m - n * p) * F.sqrt(F.greatest(2 * unit, F.lit(0.0)) / (1 - hat)),
-            "cooksd": pearson * pearson * hat / ((1 - hat) * (1 - hat) * len(terms)),
+            "std_resid": F.when(free, F.col("resid") / F.sqrt(1 - hat)),
+            "cooksd": F.when(free, F.col("resid_pearson") ** 2 * hat / ((1 - hat) * (1 - hat) * len(terms))),
         }
     ).drop(*[f"_x{i}" for i in range(len(terms))])
 
@@ -60,8 +69,8 @@ def residual_band(augmented: DataFrame, limit: float) -> DataFrame:
 
 
 def refit_without(df: DataFrame, removed: DataFrame, key: str, fit: BinomialFit) -> BinomialFit:
-    """Fit again after removing rows by key."""
-    kept = df.join(removed.select(key), key, "left_anti")
+    """Fit again after removing rows by key; the keys are written once, not sought again per pass."""
+    kept = df.join(materialise(removed.select(key), "removed"), key, "left_anti")
     return fit_binomial(kept, fit.successes, fit.failures, fit.plan.predictors)
 
 

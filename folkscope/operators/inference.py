@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folkscope.operators.models import INTERCEPT, BinomialFit, Design, fit_binomial
+from folkscope.operators.models import INTERCEPT, BinomialFit, Design, deviance, fit_binomial, solve, terms_frame
 
 # 97.5 percent point of the normal curve, 95 percent point of chi-square with one degree.
 Z_95 = 1.959963984540054
@@ -97,14 +97,16 @@ def profile_interval(df: DataFrame, fit: BinomialFit, term: str, tolerance: floa
     others = [name for name in fit.names if name not in (term, INTERCEPT)]
     columns = [F.col(fit.successes), F.col(fit.failures), terms[term].alias("_held")]
     columns += [terms[name].alias(f"_t{i}") for i, name in enumerate(others)]
-    rows = df.select(*columns).dropna().persist(StorageLevel.MEMORY_AND_DISK)
     predictors = [f"_t{i}" for i in range(len(others))]
     plan = Design(predictors, {}, predictors, intercept=term != INTERCEPT)
+    # The held term travels as the offset column and is scaled by its value for each refit.
+    rows = terms_frame(df.select(*columns), plan, fit.successes, fit.failures, "_held")
+    rows = rows.withColumnRenamed("_offset", "_held").persist(StorageLevel.MEMORY_AND_DISK)
 
     def rise(value: float) -> float:
-        shifted = rows.withColumn("_shift", F.col("_held") * value)
-        refit = fit_binomial(shifted, fit.successes, fit.failures, predictors, offset="_shift", plan=plan)
-        return math.sqrt(max(refit.deviance - fit.deviance, 0.0)) - math.sqrt(CHI2_95)
+        shifted = rows.withColumn("_offset", F.col("_held") * value)
+        drop = deviance(shifted, solve(shifted, plan, True)) - fit.deviance
+        return math.sqrt(max(drop, 0.0)) - math.sqrt(CHI2_95)
 
     centre, se = float(fit.coefficients[slot]), float(fit.std_errors[slot])
 

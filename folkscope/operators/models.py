@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import add
+from operator import add, mul
 
 import numpy as np
 from pyspark import StorageLevel
@@ -117,9 +117,9 @@ def log_gamma(x: Column) -> Column:
     """Logarithm of the gamma function for x >= 1, by its series after a shift of eight."""
     shift = 8
     y = x + shift
-    product = reduce(add, [F.ln(x + i) for i in range(shift)])
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - product
+    product = reduce(mul, [x + i for i in range(shift)])
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(product)
 
 
 def _times_log(count: Column, ratio: Column) -> Column:
@@ -127,7 +127,8 @@ def _times_log(count: Column, ratio: Column) -> Column:
     return F.when(count > 0, count * F.ln(ratio)).otherwise(0.0)
 
 
-def _terms_frame(df: DataFrame, plan: Design, successes: str, failures: str, offset: str | None) -> DataFrame:
+def terms_frame(df: DataFrame, plan: Design, successes: str, failures: str, offset: str | None) -> DataFrame:
+    """Successes, trials, share, one column per term and the offset, complete rows only."""
     m, o = F.col(successes).cast("double"), F.col(failures).cast("double")
     columns = [m.alias("_m"), (m + o).alias("_n"), (m / F.nullif(m + o, F.lit(0.0))).alias("_y")]
     columns += [col.alias(f"_x{i}") for i, (_, col) in enumerate(plan.terms())]
@@ -150,20 +151,34 @@ def fit_binomial(
     Everything reported comes from one further aggregate at the solution.
     """
     plan = plan or design(df, predictors)
-    rows = _terms_frame(df, plan, successes, failures, offset).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = terms_frame(df, plan, successes, failures, offset).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        features = [f"_x{i}" for i, name in enumerate(plan.names) if name != INTERCEPT]
-        if features:
-            coefficients = _iterate(rows, features, plan.intercept, offset is not None)
-        elif plan.intercept:
-            coefficients = _solve_intercept(rows)
-        else:
-            coefficients = np.array([])
+        coefficients = solve(rows, plan, offset is not None)
         return _statistics(rows, plan, successes, failures, coefficients, offset is None)
     finally:
         rows.unpersist()
 
 
+def solve(rows: DataFrame, plan: Design, with_offset: bool) -> np.ndarray:
+    """Coefficients in the order of the plan's terms."""
+    features = [f"_x{i}" for i, name in enumerate(plan.names) if name != INTERCEPT]
+    if features:
+        return _iterate(rows, features, plan.intercept, with_offset)
+    return _solve_intercept(rows) if plan.intercept else np.array([])
+
+
+def deviance(rows: DataFrame, coefficients: np.ndarray) -> float:
+    """Residual deviance of the terms frame at the given coefficients, one aggregate."""
+    m, n, p = F.col("_m"), F.col("_n"), F.col("_p")
+    unit = _times_log(m, m / (n * p)) + _times_log(n - m, (n - m) / (n * (1 - p)))
+    solved = rows.withColumn("_p", 1.0 / (1.0 + F.exp(-_link(coefficients))))
+    return 2 * solved.agg(F.sum(unit)).first()[0]
+
+
+def _link(coefficients: np.ndarray) -> Column:
+    return reduce(add, [F.lit(float(b)) * F.col(f"_x{i}") for i, b in enumerate(coefficients)], F.col("_offset"))
+
+
 def _iterate(rows: DataFrame, features: list[str], intercept: bool, with_offset: bool) -> np.ndarray:
     assembled = VectorAssembler(inputCols=features, outputCol="_features").transform(rows)
     estimator = GeneralizedLinearRegression(
@@ -197,10 +212,9 @@ def _solve_intercept(rows: DataFrame) -> np.ndarray:
 
 def _statistics(rows, plan, successes, failures, coefficients, with_null) -> BinomialFit:
     k = len(coefficients)
-    link = reduce(add, [F.lit(float(b)) * F.col(f"_x{i}") for i, b in enumerate(coefficients)], F.col("_offset"))
     m, n = F.col("_m"), F.col("_n")
     p = F.col("_p")
-    solved = rows.withColumn("_p", 1.0 / (1.0 + F.exp(-link)))
+    solved = rows.withColumn("_p", 1.0 / (1.0 + F.exp(-_link(coefficients))))
     weight = n * p * (1 - p)
     cells = [
         F.count(F.lit(1)).alias("rows"),

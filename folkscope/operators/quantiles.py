@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,30 +123,36 @@ def _shrink(values, wanted, brackets, heavy, accuracy) -> None:
 def _rank_inside(values, wanted, brackets) -> DataFrame:
     """Rank the distinct values inside the brackets and read off the wanted ranks.
 
-    Brackets of one column that coincide are ranked once. Equal values are counted
-    before the shuffle, so a value that fills a third of the table is one row.
+    A bracket that has closed on one value needs no ranking. Brackets of one column
+    that coincide are ranked once. Equal values are counted before the shuffle, so a
+    value that fills a third of the table is one row.
     """
     spark = values.sparkSession
     slots: dict[tuple, int] = {}
-    lookups = []
+    known, lookups = [], []
     for (c, p), b in brackets.items():
-        slot = slots.setdefault((c, b["lo"], b["hi"]), len(slots))
         low_rank, high_rank, fraction = wanted[c, p]
-        below = b["below"]
-        lookups.append((slot, c, float(p), low_rank - below, high_rank - below, float(fraction)))
-    schema = "slot int, feature string, prob double, low_rank long, high_rank long, fraction double"
+        if b["lo"] == b["hi"]:
+            known.append((c, float(p), float(b["lo"])))
+            continue
+        slot = slots.setdefault((c, b["lo"], b["hi"]), len(slots))
+        lookups.append((slot, c, float(p), low_rank - b["below"], high_rank - b["below"], float(fraction)))
+    found = spark.createDataFrame(known, "feature string, prob double, value double")
     if not lookups:
-        return spark.createDataFrame([], "feature string, prob double, value double")
+        return found
+    schema = "slot int, feature string, prob double, low_rank long, high_rank long, fraction double"
     lookup = spark.createDataFrame(lookups, schema)
-    members = F.array_compact(
-        F.array(
-            *[
-                F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(slot).alias("slot"), F.col(c).alias("v")))
-                for (c, lo, hi), slot in slots.items()
-            ]
-        )
+    inside = {slot: (F.col(c) >= lo) & (F.col(c) <= hi) for (c, lo, hi), slot in slots.items()}
+    members = [
+        F.when(inside[slot], F.struct(F.lit(slot).alias("slot"), F.col(c).alias("v"))) for (c, _, _), slot in slots.items()
+    ]
+    runs = (
+        values.filter(reduce(or_, inside.values()))
+        .select(F.explode(F.array(*members)).alias("m"))
+        .filter("m IS NOT NULL")
+        .groupBy("m.slot", "m.v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    runs = values.select(F.explode(members).alias("m")).groupBy("m.slot", "m.v").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = runs.withColumn("last", F.sum("n").over(upto) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
 
@@ -156,5 +164,5 @@ def _rank_inside(values, wanted, brackets) -> DataFrame:
         F.max(F.when(covers("low_rank"), F.col("v"))).alias("a"),
         F.max(F.when(covers("high_rank"), F.col("v"))).alias("b"),
     )
-    return ends.select("feature", "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction")).alias("value"))
-
+    value = (F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction")).alias("value")
+    return ends.select("feature", "prob", value).unionByName(found)

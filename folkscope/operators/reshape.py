@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folkscope.functions.numbers import round_even
 from folkscope.operators.missing import drop_text_na
 from folkscope.session import materialise
 
@@ -81,6 +82,11 @@ def records_wide(df: DataFrame, id_col: str, attribute: str, value: str, order:
     return df.groupBy(id_col).pivot(attribute, attributes).agg(first)
 
 
+def _quoted(name: str) -> str:
+    """Levels become column names and may hold dots or spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def level_profile(
     df: DataFrame,
     row: str,
@@ -99,11 +105,13 @@ def level_profile(
     if levels is None:
         counts = materialise(counts, "counts")
         levels = bounded_levels(counts, [level])[level]
-    wide = counts.groupBy(row).pivot(level, levels).agg(F.sum("n")).fillna(0, subset=levels)
-    total = reduce(Column.__add__, [F.col(f"`{c}`") for c in levels])
-    kept = wide.withColumn("total", total).filter(F.col("total") > min_total_exclusive)
-    long = kept.unpivot([row, "total"], [f"`{c}`" for c in levels], level, "n")
-    return long.select(row, level, F.bround(100 * F.col("n") / F.col("total"), 2).alias("perc"))
+    wide = counts.groupBy(row).pivot(level, levels).agg(F.sum("n"))
+    cells = [F.coalesce(F.col(_quoted(c)), F.lit(0)).alias(c) for c in levels]
+    filled = wide.select(row, *cells)
+    total = reduce(Column.__add__, [F.col(_quoted(c)) for c in levels])
+    kept = filled.withColumn("total", total).filter(F.col("total") > min_total_exclusive)
+    long = kept.unpivot([row, "total"], [_quoted(c) for c in levels], level, "n")
+    return long.select(row, level, round_even(100 * F.col("n") / F.col("total"), 2).alias("perc"))
 
 
 def level_matrix(profile: DataFrame, row: str, level: str, levels: list[str]) -> DataFrame:

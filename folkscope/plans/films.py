@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folkscope.fixed_values import LAST_EXCLUDED_YEAR, MATURE_GENRES
 from folkscope.functions.conditions import member_flag, member_of
 from folkscope.functions.dates import parse_dmy
-from folkscope.functions.numbers import extrapolate
+from folkscope.functions.numbers import extrapolate, thousands
 from folkscope.operators.aggregates import strict_mean, strict_sum, summarise_across
 
 ADULT_RULES = ("ignore", "exclude", "as_mature")
@@ -53,7 +53,7 @@ def country_content(
     )
     flagged = mature_flags(used.dropna("any"), genres, adult)
     totals = flagged.groupBy("production_countries_name").agg(
-        F.bround(strict_mean("budget") / 1000, 2).alias("budget_mean"),
+        thousands(strict_mean("budget")).alias("budget_mean"),
         F.sum("maturecontent").alias("maturecontent_sum"),
         F.sum("notmature").alias("notmature_sum"),
     )

@@ -19,13 +19,13 @@ from folkscope.sources.tables import table
 COUNTS = ("maturecontent_sum", "notmature_sum")
 
 
-def home(spark, folder):
+def at_home(rows, spark, folder):
+    """Supplier, country and income level beside ``l_suppkey``, one stored table after another."""
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    nation = table(spark, folder, "nation").join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.select("s_suppkey", "s_acctbal", "n_name", F.col("r_name").alias("income_level"))
+    joined = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = joined.join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    joined = joined.join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.select(*rows.columns, "s_suppkey", "s_acctbal", "n_name", F.col("r_name").alias("income_level"))
 
 
 def content(spark, folder):
@@ -45,8 +45,7 @@ def content(spark, folder):
             (F.avg("l_extendedprice") / 1000).alias("budget_mean"),
         )
     )
-    rows = counted.join(home(spark, folder), F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey")
-    return materialise(rows, "content")
+    return materialise(at_home(counted, spark, folder).drop("l_suppkey"), "content")
 
 
 CONTENT = f"""content AS (
@@ -77,8 +76,8 @@ DIAG = f"""{BASE}, unit AS (SELECT *, ln(p / (1 - p)) AS link_fitted, (m - n * p
     2 * (CASE WHEN m > 0 THEN m * ln(m / (n * p)) ELSE 0 END + CASE WHEN o > 0 THEN o * ln(o / (n * (1 - p))) ELSE 0 END)
     AS d FROM rws),
 aug AS (SELECT *, sign(m - n * p) * sqrt(greatest(d, 0)) AS resid,
-    sign(m - n * p) * sqrt(greatest(d, 0) / (1 - h)) AS std_resid,
-    pearson * pearson * h / ((1 - h) * (1 - h) * (SELECT count(*) FROM grp)) AS cooksd FROM unit)"""
+    CASE WHEN h < 1 THEN sign(m - n * p) * sqrt(greatest(d, 0) / (1 - h)) END AS std_resid,
+    CASE WHEN h < 1 THEN pearson * pearson * h / ((1 - h) * (1 - h) * (SELECT count(*) FROM grp)) END AS cooksd FROM unit)"""
 
 
 def normal_p(z: str) -> str:
@@ -140,13 +139,9 @@ LINES = f"""WITH content AS (SELECT r_name AS income_level, CASE WHEN p_type IN
 def glm_bernoulli(spark, folder):
     """0/1 rows: every order line, all columns but two as predictors."""
     part = table(spark, folder, "part").select("p_partkey", F.col("p_type").isin(GENRES).cast("int").alias("mature"))
-    rows = (
-        table(spark, folder, "lineitem")
-        .select("l_partkey", "l_suppkey")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(home(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select("mature", "income_level", "n_name", "l_suppkey")
-    )
+    lines = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey")
+    rows = at_home(lines.join(part, F.col("l_partkey") == F.col("p_partkey")), spark, folder)
+    rows = rows.select("mature", "income_level", "n_name", "l_suppkey")
     fitted = models.fit_bernoulli(rows, "mature", models.all_but(rows, "mature", "n_name", "l_suppkey"))
     table_ = models.coefficient_table(spark, fitted).select("term", "estimate", "std_error")
     return _rounded(table_.withColumn("deviance", F.lit(fitted.deviance)), {"estimate": 6, "std_error": 6, "deviance": 3})
@@ -294,7 +289,7 @@ def augment(spark, folder):
 
 
 TOP = f"""{DIAG}, top AS (SELECT s_suppkey, c FROM (SELECT s_suppkey, round(cooksd, 8) AS c,
-    rank() OVER (ORDER BY round(cooksd, 8) DESC) AS r FROM aug) WHERE r <= {INFLUENTIAL_ROWS})"""
+    rank() OVER (ORDER BY round(cooksd, 8) DESC) AS r FROM aug WHERE cooksd IS NOT NULL) WHERE r <= {INFLUENTIAL_ROWS})"""
 
 
 @query("influence_top3", f"{TOP} SELECT s_suppkey, c AS cooksd FROM top")

@@ -35,8 +35,13 @@ def first_name(array: str) -> Column:
 
 
 def flatten_film_records(df: DataFrame, text: str = "record") -> DataFrame:
-    """JSON film records to one flat row each, first genre and country kept."""
-    record = df.select(F.from_json(text, FILM_RECORD).alias("r")).select("r.*")
+    """JSON film records to one flat row each, first genre and country kept.
+
+    The parsed record is unfolded by a generator: a later filter on one of its fields
+    then stays above the parse, where a plain projection would parse once for the
+    filter and again for the row.
+    """
+    record = df.select(F.inline(F.array(F.from_json(text, FILM_RECORD))))
     flat = record.withColumns(
         {
             "adult": F.when(F.col("adult"), "TRUE").when(~F.col("adult"), "FALSE"),
