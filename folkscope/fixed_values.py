@@ -75,8 +75,23 @@ NAME_ALIASES = {
         "Arab countries": "Lebanon",
         "Great Britain": "United Kingdom",
     },
+    "chart": {
+        "United States of America": "United States",
+    },
 }
 
+# Predictors of the final model of mature content.
+MODEL_PREDICTORS = [
+    "income_level",
+    "HOMOSEXUALITY",
+    "RELIGION_IMPORT",
+    "extrapolated_genderY",
+    "pdi",
+    "ltowvs",
+    "ivr",
+    "budget_mean",
+]
+
 # Country codes of the culture scores -> ISO 3166 alpha-3.
 CULTURE_CODES = {
     "ALG": "DZA",

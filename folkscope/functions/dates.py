@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted spellings of a day-month-year date.
-DMY_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d M yyyy"]
+# Separators between day, month and year; the spellings of a year with the
+# digits to put before it; spellings with a month name.
+SEPARATOR = r"[/.\- ]"
+YEARS = {r"\d{4}": "", r"[0-6]\d": "20", r"[7-9]\d|69": "19"}
+NAMED_MONTH_FORMATS = ["d MMM yyyy", "d MMMM yyyy"]
+
+
+def _rearranged(text: Column | str, year: str, century: str) -> Column:
+    """One regular expression turns the three numbers round; anything else becomes a text that is no date."""
+    pattern = rf"(?s)^(?:\s*(\d{{1,2}}){SEPARATOR}(\d{{1,2}}){SEPARATOR}({year})\s*|.*)$"
+    return F.regexp_replace(text, pattern, f"{century}$3-$2-$1").try_cast("date")
 
 
 def parse_dmy(col: Column | str) -> Column:
-    """Day-month-year text to a date, null where no format fits.
+    """Day-month-year text to a date, null where the text is no date.
 
-    Blank text becomes null before parsing; ``to_date`` would raise in ANSI mode.
+    The column is read once for the usual four-digit year, also inside a filter, where
+    Spark does not share common parts of an expression; the other spellings are tried
+    only on what is left. The cast takes one fixed form without a pattern formatter.
     """
-    text = F.nullif(F.trim(col), F.lit(""))
-    return F.coalesce(*[F.try_to_date(text, fmt) for fmt in DMY_FORMATS])
+    numeric = [_rearranged(col, year, century) for year, century in YEARS.items()]
+    named = [F.try_to_date(F.trim(col), fmt) for fmt in NAMED_MONTH_FORMATS]
+    letters = (F.col(col) if isinstance(col, str) else col).rlike("[A-Za-z]")
+    return F.coalesce(*numeric, F.when(letters, F.coalesce(*named)))
 
 
 def released_after(date: Column | str, year: int) -> Column:

@@ -21,7 +21,7 @@ FULL_LEVERAGE_GAP = 1e-9
 
 
 def augment(df: DataFrame, fit: BinomialFit) -> DataFrame:
-    """Fitted value, residuals, leverage and Cook's distance of every complete row.
+    """Fitted value, residuals, leverage, left-out deviation and Cook's distance of every complete row.
 
     Leverage is w x' V x with the p-by-p covariance V as constants, so each row is
     computed on its own and the n-by-n hat matrix never exists. A row with leverage
@@ -53,6 +53,7 @@ def augment(df: DataFrame, fit: BinomialFit) -> DataFrame:
     free = hat < 1 - FULL_LEVERAGE_GAP
     return rows.withColumns(
         {
+            "sigma": F.when(free, F.sqrt((fit.deviance - F.col("resid") ** 2 / (1 - hat)) / (fit.residual_df - 1))),
             "std_resid": F.when(free, F.col("resid") / F.sqrt(1 - hat)),
             "cooksd": F.when(free, F.col("resid_pearson") ** 2 * hat / ((1 - hat) * (1 - hat) * len(terms))),
         }

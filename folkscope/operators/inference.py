@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -128,3 +129,8 @@ def profile_interval(df: DataFrame, fit: BinomialFit, term: str, tolerance: floa
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame([row], "term string, estimate double, lower double, upper double")
+
+
+def profile_intervals(df: DataFrame, fit: BinomialFit) -> DataFrame:
+    """Profile-likelihood interval of every coefficient."""
+    return reduce(DataFrame.unionByName, [profile_interval(df, fit, term) for term in fit.names])

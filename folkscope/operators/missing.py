@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folkscope.session import materialise
+
 
 def sentinel_to_null(df: DataFrame, columns: list[str], sentinel: str = "") -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(sentinel)) for c in columns})
@@ -22,8 +24,15 @@ def observations(df: DataFrame, measure: str, age: str, period: str) -> DataFram
     return df.filter(wanted).select("LOCATION", "obsValue").toDF("Location", measure)
 
 
-def split_by_level(df: DataFrame, column: str, levels: list[str]) -> dict[str, DataFrame]:
-    """One lazy subset per named level; each is a filter that reaches the scan."""
+def split_by_level(df: DataFrame, column: str, levels: list[str], stored: bool = False) -> dict[str, DataFrame]:
+    """One subset per named level.
+
+    Plainly, each is a filter that reaches the scan. When several subsets of a
+    derived table are used, ``stored`` writes the table once, one folder per level,
+    and each subset then reads its own folder only.
+    """
+    if stored:
+        df = materialise(df, "levels", partition_by=column)
     return {level: df.filter(F.col(column) == level) for level in levels}
 
 

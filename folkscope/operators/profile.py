@@ -12,8 +12,10 @@ QUARTILES = {0.25: "q25", 0.5: "median", 0.75: "q75"}
 
 
 def profile_schema(df: DataFrame) -> DataFrame:
+    """Position, type and nullability of every column with the number of rows."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields, 1)]
-    return df.sparkSession.createDataFrame(rows, "position int, feature string, type string, nullable boolean")
+    fields = df.sparkSession.createDataFrame(rows, "position int, feature string, type string, nullable boolean")
+    return fields.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
 def column_stats(df: DataFrame, columns: list[str], statistics: dict[str, callable]) -> DataFrame:

@@ -29,7 +29,7 @@ def exact_quantiles(
     each wanted rank, passes over the pruned columns narrow the brackets until few
     rows lie inside, and only those rows are ranked. The sketch steers the search
     but never the answer: ranks inside a bracket are counted exactly, and a
-    bracket that misses its rank is widened to the whole range.
+    bracket that misses its rank is opened to the whole range and closed in anew.
 
     Only column names, counts and bracket ends pass through the driver.
     """
@@ -44,8 +44,9 @@ def exact_quantiles(
     return _rank_inside(values, wanted, brackets)
 
 
-def _margin(accuracy: int) -> float:
-    return 4.0 / accuracy
+def _margin(accuracy: int, misses: int = 0) -> float:
+    """Distance of the bracket ends from the wanted share: four sketch errors, wider after a miss."""
+    return 4.0 / accuracy * 4**misses
 
 
 def _first_brackets(values, columns, probs, accuracy, direct_limit):
@@ -71,10 +72,10 @@ def _first_brackets(values, columns, probs, accuracy, direct_limit):
             rank = p * (s.n - 1)
             low_rank = math.floor(rank)
             wanted[c, p] = (low_rank, min(low_rank + 1, s.n - 1), rank - low_rank)
-            whole = {"lo": s.lo, "hi": s.hi, "below": 0, "whole": (s.lo, s.hi), "done": True}
+            bracket = {"lo": s.lo, "hi": s.hi, "below": 0, "whole": (s.lo, s.hi, s.n), "misses": 0, "done": True}
             if s.n > direct_limit:
-                whole.update(lo=s.q[i], hi=s.q[len(probs) + i], below=None, done=False)
-            brackets[c, p] = whole
+                bracket.update(lo=s.q[i], hi=s.q[len(probs) + i], done=False)
+            brackets[c, p] = bracket
     return wanted, brackets
 
 
@@ -94,8 +95,9 @@ def _count_rows(values, wanted, brackets, direct_limit) -> dict[tuple, int]:
         b, (low_rank, high_rank, _) = brackets[key], wanted[key]
         b["below"], inside = counts[f"below{i}"], counts[f"inside{i}"]
         if b["below"] > low_rank or b["below"] + inside <= high_rank:
-            b["lo"], b["hi"] = b["whole"]
-            b["below"], b["done"] = 0, True
+            b["lo"], b["hi"], heavy[key] = b["whole"]
+            b["below"] = 0
+            b["misses"] += 1
         elif inside <= direct_limit or b["lo"] == b["hi"]:
             b["done"] = True
         else:
@@ -105,10 +107,10 @@ def _count_rows(values, wanted, brackets, direct_limit) -> dict[tuple, int]:
 
 def _shrink(values, wanted, brackets, heavy, accuracy) -> None:
     """Sketch again within the brackets that hold too many rows."""
-    delta = _margin(accuracy)
     cells = []
     for i, (key, inside) in enumerate(heavy.items()):
         b, (low_rank, high_rank, _) = brackets[key], wanted[key]
+        delta = _margin(accuracy, b["misses"])
         local = [
             max(0.0, (low_rank - b["below"]) / inside - delta),
             min(1.0, (high_rank + 1 - b["below"]) / inside + delta),

@@ -138,7 +138,7 @@ def split_by_level(spark, folder):
         "c_custkey", F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("iso3c")
     )
     rows = customers.join(countries(spark, folder), "iso3c")
-    parts = missing.split_by_level(rows, "income_level", REGIONS)
+    parts = missing.split_by_level(rows, "income_level", REGIONS, stored=True)
     named = [p.select(F.lit(level).alias("part"), "country", "c_custkey") for level, p in parts.items()]
     return reduce(lambda a, b: a.unionByName(b), named)
 

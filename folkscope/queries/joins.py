@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from folkscope.operators import joins
 from folkscope.operators.aggregates import majority, weighted_shares
 from folkscope.operators.ordering import bind_columns
-from folkscope.operators.survey import answer_chart
-from folkscope.plans.films import country_content
+from folkscope.operators.survey import answer_chart, collapse_levels
+from folkscope.plans import culture
+from folkscope.plans.films import country_content, mature_flags, recent_films
 from folkscope.queries.analogs import (
     COUNTRIES,
     FILMS,
     GENRES,
     MATURE_SQL,
+    PRIORITIES,
     SCORES,
     SHARES,
     YEAR,
@@ -28,6 +30,15 @@ from folkscope.queries.registry import query
 from folkscope.sources.tables import table
 
 
+def population(spark, folder):
+    """Orders per country and year stand for inhabitants; one region has no figures."""
+    orders = table(spark, folder, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
+    rows = orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    known = rows.filter("n_regionkey <> 3").groupBy(F.col("n_name").alias("country"), "year")
+    return known.agg(F.count(F.lit(1)).alias("population"))
+
+
 @query(
     "join_left",
     "SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)",
@@ -61,17 +72,14 @@ def join_inner_named(spark, folder):
 
 @query(
     "join_natural_left",
-    f"""WITH {COUNTRIES}, population AS (SELECT n_name AS country, count(*) AS population FROM customer
-        JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1)
+    f"""WITH {COUNTRIES}, population AS (SELECT n_name AS country, count(*) AS population FROM orders
+        JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        WHERE year(o_orderdate) = {YEAR} AND n_regionkey <> 3 GROUP BY 1)
     SELECT * FROM countries NATURAL LEFT JOIN population""",
 )
 def join_natural_left(spark, folder):
-    customers = table(spark, folder, "customer").filter("c_acctbal > 0")
-    counts = customers.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("population"))
-    nation = table(spark, folder, "nation")
-    population = counts.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    population = population.select(F.col("n_name").alias("country"), "population")
-    return joins.join_natural(countries(spark, folder), population, "left")
+    """Population figures come for several years; one is picked before the join."""
+    return culture.countries_with_population(countries(spark, folder), population(spark, folder), YEAR)
 
 
 @query(
@@ -152,3 +160,83 @@ def join_star_chain(spark, folder):
         "production_countries_name",
     )
     return chain
+
+
+FULL = f"""{FILMS}, {COUNTRIES}, {SHARES}, {SCORES}, people AS (SELECT n_name AS country, count(*) AS population FROM orders
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE year(o_orderdate) = {YEAR} AND n_regionkey <> 3 GROUP BY 1),
+wide AS (SELECT country, sum(CASE WHEN answer IN ('1-URGENT', '2-HIGH') THEN weighted_n END) AS y,
+    sum(CASE WHEN answer IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN weighted_n END) AS n,
+    sum(CASE WHEN answer = '5-LOW' THEN weighted_n END) AS u FROM shares GROUP BY 1),
+best AS (SELECT country, answer FROM (SELECT *, rank() OVER (PARTITION BY country ORDER BY weighted_estimate DESC) AS r
+    FROM shares) WHERE r = 1)"""
+
+
+def answers(spark, folder):
+    """Merged answer counts and the majority answer per country."""
+    shares = weighted_shares(survey(spark, folder), "country", "answer")
+    names = dict(zip(PRIORITIES, ["gender_VI", "gender_SI", "gender_NTI", "gender_NIAA", "gender_Neut"]))
+    wide = culture.wide_answers(shares, "answer", names)
+    merged = collapse_levels(wide, {"gender_Y": ("gender_VI", "gender_SI"), "gender_N": ("gender_NTI", "gender_NIAA")})
+    return merged.join(culture.majority_answers(shares, "answer", "RELIGION_IMPORT"), "country", "left")
+
+
+@query(
+    "analysis_table",
+    f"""WITH {FULL} SELECT production_countries_name, round_even(avg(budget) / 1000, 2) AS budget_mean,
+        CAST(sum(CASE WHEN genres_name IN {MATURE_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS maturecontent_sum,
+        CAST(sum(CASE WHEN genres_name IN {MATURE_SQL} THEN 0 ELSE 1 END) AS BIGINT) AS notmature_sum,
+        any_value(income_level) AS income_level, any_value(answer) AS "RELIGION_IMPORT",
+        any_value(round(ln(y * population / (y + n + u)), 8)) AS "extrapolated_genderY",
+        any_value(round(pdi, 4)) AS pdi, any_value(idv) AS idv
+    FROM films JOIN countries ON production_countries_name = countries.country LEFT JOIN people USING (country)
+    JOIN wide USING (country) JOIN best USING (country) JOIN scores USING (country)
+    WHERE year > {YEAR} GROUP BY 1""",
+)
+def analysis_table(spark, folder):
+    rows = culture.analysis_table(
+        country_content(films(spark, folder), YEAR, GENRES),
+        culture.countries_with_population(countries(spark, folder), population(spark, folder), YEAR),
+        answers(spark, folder),
+        scores(spark, folder).select("country", F.round("pdi", 4).alias("pdi"), "idv"),
+    )
+    return rows.withColumn("extrapolated_genderY", F.round("extrapolated_genderY", 8)).drop("iso3c", "population")
+
+
+@query(
+    "film_table",
+    f"""WITH {FULL} SELECT imdb_id, production_countries_name, CASE WHEN genres_name IN {MATURE_SQL} THEN 1 ELSE 0 END AS mature,
+        income_level, answer AS "RELIGION_IMPORT", round(y, 2) AS "gender_Y", idv
+    FROM films LEFT JOIN countries ON production_countries_name = countries.country
+    JOIN wide ON wide.country = production_countries_name JOIN best ON best.country = production_countries_name
+    JOIN scores ON scores.country = production_countries_name WHERE year > {YEAR}""",
+)
+def film_table(spark, folder):
+    """Single films with their country's attributes; 0/1 rows of the model."""
+    flagged = mature_flags(recent_films(films(spark, folder), YEAR), GENRES)
+    rows = culture.film_table(
+        flagged, countries(spark, folder), answers(spark, folder), scores(spark, folder).select("country", "idv")
+    )
+    return rows.select(
+        "imdb_id",
+        "production_countries_name",
+        F.col("maturecontent").alias("mature"),
+        "income_level",
+        "RELIGION_IMPORT",
+        F.round("gender_Y", 2).alias("gender_Y"),
+        "idv",
+    )
+
+
+@query(
+    "chart_countries",
+    """SELECT DISTINCT CASE n_name WHEN 'United States of America' THEN 'United States' ELSE n_name END AS country,
+        nullif(r_name, 'ASIA') AS income_level FROM customer JOIN nation ON c_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'""",
+)
+def chart_countries(spark, folder):
+    """Countries of all customers; one region's level reads NA."""
+    home = countries(spark, folder).withColumn("income_level", F.coalesce(F.nullif("income_level", F.lit("ASIA")), F.lit("NA")))
+    customers = table(spark, folder, "customer").select(F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("iso3c"))
+    rows = customers.join(home, "iso3c").withColumnRenamed("country", "production_countries_name")
+    return culture.chart_countries(rows)

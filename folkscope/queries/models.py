@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from folkscope.fixed_values import INFLUENTIAL_ROWS, RESIDUAL_BAND
 from folkscope.operators import diagnostics, inference, models
-from folkscope.queries.analogs import GENRES, MATURE_SQL
+from folkscope.plans import culture
+from folkscope.plans.films import country_content
+from folkscope.queries.analogs import GENRES, MATURE_SQL, YEAR, countries, films, scores
+from folkscope.queries.joins import FULL, answers, population
 from folkscope.queries.registry import query
 from folkscope.session import materialise
 from folkscope.sources.tables import table
@@ -126,6 +129,64 @@ def glm_counts(spark, folder):
     return _rounded(table_, {"estimate": 6, "std_error": 6})
 
 
+def newton(names: tuple[str, str]) -> str:
+    """Twenty Newton steps for an intercept and two numbers, on rows ``v(m, n, x1, x2)``."""
+    return f"""it AS (SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2,
+        1.0::DOUBLE AS v0, 1.0::DOUBLE AS v1, 1.0::DOUBLE AS v2
+    UNION ALL
+    SELECT k + 1, b0 + c00 * s0 + c01 * s1 + c02 * s2, b1 + c01 * s0 + c11 * s1 + c12 * s2,
+        b2 + c02 * s0 + c12 * s1 + c22 * s2, c00, c11, c22
+    FROM (SELECT *, (d * f - e * e) / det AS c00, (c * e - b * f) / det AS c01, (b * e - c * d) / det AS c02,
+            (a * f - c * c) / det AS c11, (b * c - a * e) / det AS c12, (a * d - b * b) / det AS c22
+        FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det
+            FROM (SELECT k, b0, b1, b2, sum(r) AS s0, sum(r * x1) AS s1, sum(r * x2) AS s2, sum(w) AS a, sum(w * x1) AS b,
+                    sum(w * x2) AS c, sum(w * x1 * x1) AS d, sum(w * x1 * x2) AS e, sum(w * x2 * x2) AS f
+                FROM (SELECT *, m - n * p AS r, n * p * (1 - p) AS w
+                    FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM it, v WHERE k < 20))
+                GROUP BY k, b0, b1, b2))))
+    SELECT '(Intercept)' AS term, round(b0, 5) AS estimate, round(sqrt(v0), 5) AS std_error FROM it WHERE k = 20
+    UNION ALL SELECT '{names[0]}', round(b1, 5), round(sqrt(v1), 5) FROM it WHERE k = 20
+    UNION ALL SELECT '{names[1]}', round(b2, 5), round(sqrt(v2), 5) FROM it WHERE k = 20"""
+
+
+@query(
+    "glm_numeric",
+    f"""WITH RECURSIVE {CONTENT}, v AS MATERIALIZED (SELECT CAST(m AS DOUBLE) AS m, CAST(n AS DOUBLE) AS n,
+        budget_mean / 10 AS x1, s_acctbal / 1000 AS x2 FROM content), {newton(('budget', 'balance'))}""",
+)
+def glm_numeric(spark, folder):
+    """Two numeric predictors, where no closed form exists: the SQL iterates."""
+    rows = content(spark, folder).select(
+        *COUNTS, (F.col("budget_mean") / 10).alias("budget"), (F.col("s_acctbal") / 1000).alias("balance")
+    )
+    fitted = models.fit_binomial(rows, *COUNTS, ["budget", "balance"])
+    table_ = models.coefficient_table(spark, fitted).select("term", "estimate", "std_error")
+    return _rounded(table_, {"estimate": 5, "std_error": 5})
+
+
+@query(
+    "culture_model",
+    f"""WITH RECURSIVE {FULL}, joined AS (SELECT production_countries_name,
+        sum(CASE WHEN genres_name IN {MATURE_SQL} THEN 1.0 ELSE 0.0 END)::DOUBLE AS m, count(*)::DOUBLE AS n,
+        any_value(ln(y * population / (y + n + u))) AS x1, any_value(pdi / 1000) AS x2
+        FROM films JOIN wide ON production_countries_name = wide.country LEFT JOIN people USING (country)
+        JOIN scores USING (country) WHERE year > {YEAR} GROUP BY 1),
+    v AS MATERIALIZED (SELECT m, n, x1, x2 FROM joined WHERE x1 IS NOT NULL AND x2 IS NOT NULL),
+    {newton(('extrapolated_genderY', 'pdi'))}""",
+)
+def culture_model(spark, folder):
+    """From film and survey rows to the fitted model; countries without population are left out."""
+    rows = culture.analysis_table(
+        country_content(films(spark, folder), YEAR, GENRES),
+        culture.countries_with_population(countries(spark, folder), population(spark, folder), YEAR),
+        answers(spark, folder),
+        scores(spark, folder).select("country", (F.col("pdi") / 1000).alias("pdi"), "idv"),
+    )
+    fitted = culture.fit_culture_model(materialise(rows, "model"), ["extrapolated_genderY", "pdi"])
+    table_ = models.coefficient_table(spark, fitted).select("term", "estimate", "std_error")
+    return _rounded(table_, {"estimate": 5, "std_error": 5})
+
+
 LINES = f"""WITH content AS (SELECT r_name AS income_level, CASE WHEN p_type IN {MATURE_SQL} THEN 1 ELSE 0 END AS m,
     CASE WHEN p_type IN {MATURE_SQL} THEN 0 ELSE 1 END AS o, 1 AS n FROM lineitem JOIN part ON l_partkey = p_partkey
     JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -279,11 +340,13 @@ def collinearity_diag(spark, folder):
 @query(
     "augment",
     f"""{DIAG} SELECT s_suppkey, round(link_fitted, 6) AS link_fitted, round(p, 6) AS fitted, round(resid, 6) AS resid,
-        round(h, 6) AS hat, round(std_resid, 6) AS std_resid, round(cooksd, 6) AS cooksd FROM aug""",
+        round(h, 6) AS hat, round(std_resid, 6) AS std_resid, round(cooksd, 6) AS cooksd,
+        CASE WHEN h < 1 THEN round(sqrt(((SELECT sum(d) FROM unit) - d / (1 - h))
+            / ((SELECT count(*) FROM unit) - (SELECT count(*) FROM grp) - 1)), 6) END AS sigma FROM aug""",
 )
 def augment(spark, folder):
     rows, fitted = fit(spark, folder)
-    columns = ["link_fitted", "fitted", "resid", "hat", "std_resid", "cooksd"]
+    columns = ["link_fitted", "fitted", "resid", "hat", "std_resid", "cooksd", "sigma"]
     augmented = diagnostics.augment(rows, fitted).select("s_suppkey", *columns)
     return _rounded(augmented, {c: 6 for c in columns})
 

@@ -36,7 +36,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the folder shared by all executors.
 
     The folder comes from ``spark.checkpoint.dir``. Only a local session may do
-    without it, where driver and executors are one process.
+    without it, where driver and executors are one process. Everything an
+    application writes is below one folder named by its id, to be cleared after it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -46,10 +47,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="folkscope-")
         root = _LOCAL_ROOTS[app]
-    return f"{root.rstrip('/')}/folkscope/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/folkscope/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write a frame to the scratch folder and read it back.
 
     Used where a result must stay fixed between two passes (row positions), or
@@ -58,5 +59,6 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     and later reads still prune columns.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

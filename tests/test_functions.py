@@ -35,6 +35,15 @@ def test_parse_dmy_formats_and_junk(spark):
         "03-02-2011": datetime.date(2011, 2, 3),
         "03.02.2011": datetime.date(2011, 2, 3),
         " 31/12/1999 ": datetime.date(1999, 12, 31),
+        "3 2 2011": datetime.date(2011, 2, 3),
+        "3/2/11": datetime.date(2011, 2, 3),
+        "3/2/70": datetime.date(1970, 2, 3),
+        "3 Feb 2011": datetime.date(2011, 2, 3),
+        "3 February 2011": datetime.date(2011, 2, 3),
+        "2011-02-03": None,
+        "1/2/3/2011": None,
+        "1/2011": None,
+        "29/02/2011": None,
         "": None,
         "31/02/2011": None,
         "soon": None,
