@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 ACCURACY = 10_000
 DIRECT_LIMIT = 200_000
-MAX_NARROWINGS = 4
+PIVOT_ROWS = 1_000_000
+MAX_NARROWINGS = 8
 
 
 def exact_quantiles(
@@ -21,107 +22,104 @@ def exact_quantiles(
     probs: list[float],
     accuracy: int = ACCURACY,
     direct_limit: int = DIRECT_LIMIT,
+    pivot_rows: int = PIVOT_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles as rows ``(feature, prob, value)``, nulls ignored.
 
     ``percentile`` keeps every distinct value of a column in one buffer, which
-    does not hold for a large continuous column. Here a mergeable sketch brackets
-    each wanted rank, passes over the pruned columns narrow the brackets until few
-    rows lie inside, and only those rows are ranked. The sketch steers the search
-    but never the answer: ranks inside a bracket are counted exactly, and a
-    bracket that misses its rank is opened to the whole range and closed in anew.
-
-    Only column names, counts and bracket ends pass through the driver.
+    does not hold for a large continuous column. Here each wanted rank is searched
+    like in quickselect: pivots on both sides of it close in, all rows below and
+    between them are counted, and once few rows lie between, those are ranked.
+
+    Pivots come from a sketch over about ``pivot_rows`` random rows. They only steer
+    the search and never touch the answer: the counts are over all rows, and pivots
+    that miss their rank are dropped and chosen anew, further apart. Every pass is a
+    one-row aggregate over the pruned columns; only counts and pivots pass through
+    the driver.
     """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wanted, brackets = _first_brackets(values, columns, probs, accuracy, direct_limit)
-    for _ in range(MAX_NARROWINGS):
-        heavy = _count_rows(values, wanted, brackets, direct_limit)
+    wanted, brackets = _whole_ranges(values, columns, probs)
+    heavy = {key: b["n"] for key, b in brackets.items() if b["n"] > direct_limit and b["lo"] < b["hi"]}
+    for seed in range(MAX_NARROWINGS):
         if not heavy:
             break
-        _shrink(values, wanted, brackets, heavy, accuracy)
-    _count_rows(values, wanted, brackets, direct_limit)
+        _close_in(values, wanted, brackets, heavy, accuracy, pivot_rows, seed)
+        heavy = _count_rows(values, wanted, brackets, heavy, direct_limit)
     return _rank_inside(values, wanted, brackets)
 
 
-def _margin(accuracy: int, misses: int = 0) -> float:
-    """Distance of the bracket ends from the wanted share: four sketch errors, wider after a miss."""
-    return 4.0 / accuracy * 4**misses
-
-
-def _first_brackets(values, columns, probs, accuracy, direct_limit):
-    """Wanted 0-based ranks per (column, prob) and a first bracket [low, high] with the rows below it."""
-    delta = _margin(accuracy)
-    ends = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
-    cells = [
-        F.struct(
-            F.count(c).alias("n"),
-            F.min(c).alias("lo"),
-            F.max(c).alias("hi"),
-            F.percentile_approx(c, ends, accuracy).alias("q"),
-        ).alias(c)
-        for c in columns
-    ]
+def _whole_ranges(values, columns, probs):
+    """Wanted 0-based ranks per (column, prob), and the column's range as the first bracket."""
+    cells = [F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]
     stats = values.agg(*cells).first()
     wanted, brackets = {}, {}
     for c in columns:
         s = stats[c]
-        for i, p in enumerate(probs):
-            if not s.n:
-                continue
+        for p in probs if s.n else []:
             rank = p * (s.n - 1)
             low_rank = math.floor(rank)
             wanted[c, p] = (low_rank, min(low_rank + 1, s.n - 1), rank - low_rank)
-            bracket = {"lo": s.lo, "hi": s.hi, "below": 0, "whole": (s.lo, s.hi, s.n), "misses": 0, "done": True}
-            if s.n > direct_limit:
-                bracket.update(lo=s.q[i], hi=s.q[len(probs) + i], done=False)
-            brackets[c, p] = bracket
+            brackets[c, p] = {"lo": s.lo, "hi": s.hi, "below": 0, "n": s.n, "whole": (s.lo, s.hi), "misses": 0}
     return wanted, brackets
 
 
-def _count_rows(values, wanted, brackets, direct_limit) -> dict[tuple, int]:
-    """Count rows below and inside every open bracket; return those that still hold too many."""
-    open_keys = [k for k, b in brackets.items() if not b["done"]]
-    if not open_keys:
-        return {}
+def _close_in(values, wanted, brackets, heavy, accuracy, pivot_rows, seed) -> None:
+    """Move the ends of the brackets that hold too many rows towards their ranks.
+
+    The distance kept covers five standard errors of the sampled share and four of
+    the sketch, and grows after a miss. An end that would leave the bracket stays.
+    """
+    fraction = min(1.0, pivot_rows / min(heavy.values()))
+    sampled = values if fraction == 1.0 else values.sample(fraction, seed)
+    shared: dict[tuple, list] = {}
+    for key, inside in heavy.items():
+        b, (low_rank, high_rank, _) = brackets[key], wanted[key]
+        drawn = fraction * inside
+        error = 0.0 if fraction == 1.0 else 2.5 / math.sqrt(drawn) + 2 / drawn
+        margin = (error + 4.0 / accuracy) * 4 ** b["misses"]
+        low, high = (low_rank - b["below"]) / inside - margin, (high_rank + 1 - b["below"]) / inside + margin
+        shared.setdefault((key[0], b["lo"], b["hi"]), []).append((key, low, high))
     cells = []
-    for i, (c, p) in enumerate(open_keys):
-        b = brackets[c, p]
-        inside = (F.col(c) >= b["lo"]) & (F.col(c) <= b["hi"])
-        cells += [F.count_if(F.col(c) < b["lo"]).alias(f"below{i}"), F.count_if(inside).alias(f"inside{i}")]
+    for i, ((c, lo, hi), searches) in enumerate(shared.items()):
+        shares = [min(max(x, 0.0), 1.0) for _, low, high in searches for x in (low, high)]
+        within = F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c))
+        cells.append(F.percentile_approx(within, shares, accuracy).alias(f"q{i}"))
+    for found, searches in zip(sampled.agg(*cells).first(), shared.values()):
+        for i, (key, low, high) in enumerate(searches if found else []):
+            if low > 0:
+                brackets[key]["lo"] = found[2 * i]
+            if high < 1:
+                brackets[key]["hi"] = found[2 * i + 1]
+
+
+def _count_rows(values, wanted, brackets, moved, direct_limit) -> dict[tuple, int]:
+    """Count all rows below and inside the moved brackets; return those that still hold too many.
+
+    Only rows strictly between the ends count as too many: each end is one value and
+    will be one row, whatever its frequency.
+    """
+    cells = []
+    for i, key in enumerate(moved):
+        c, b = F.col(key[0]), brackets[key]
+        cells += [
+            F.count_if(c < b["lo"]).alias(f"below{i}"),
+            F.count_if((c >= b["lo"]) & (c <= b["hi"])).alias(f"inside{i}"),
+            F.count_if((c > b["lo"]) & (c < b["hi"])).alias(f"between{i}"),
+        ]
     counts = values.agg(*cells).first()
     heavy = {}
-    for i, key in enumerate(open_keys):
+    for i, key in enumerate(moved):
         b, (low_rank, high_rank, _) = brackets[key], wanted[key]
         b["below"], inside = counts[f"below{i}"], counts[f"inside{i}"]
         if b["below"] > low_rank or b["below"] + inside <= high_rank:
-            b["lo"], b["hi"], heavy[key] = b["whole"]
-            b["below"] = 0
+            b["lo"], b["hi"] = b["whole"]
+            b["below"], heavy[key] = 0, b["n"]
             b["misses"] += 1
-        elif inside <= direct_limit or b["lo"] == b["hi"]:
-            b["done"] = True
-        else:
+        elif counts[f"between{i}"] > direct_limit:
             heavy[key] = inside
     return heavy
 
 
-def _shrink(values, wanted, brackets, heavy, accuracy) -> None:
-    """Sketch again within the brackets that hold too many rows."""
-    cells = []
-    for i, (key, inside) in enumerate(heavy.items()):
-        b, (low_rank, high_rank, _) = brackets[key], wanted[key]
-        delta = _margin(accuracy, b["misses"])
-        local = [
-            max(0.0, (low_rank - b["below"]) / inside - delta),
-            min(1.0, (high_rank + 1 - b["below"]) / inside + delta),
-        ]
-        within = F.when((F.col(key[0]) >= b["lo"]) & (F.col(key[0]) <= b["hi"]), F.col(key[0]))
-        cells.append(F.percentile_approx(within, local, accuracy).alias(f"q{i}"))
-    ends = values.agg(*cells).first()
-    for i, key in enumerate(heavy):
-        brackets[key]["lo"], brackets[key]["hi"] = ends[f"q{i}"]
-
-
 def _rank_inside(values, wanted, brackets) -> DataFrame:
     """Rank the distinct values inside the brackets and read off the wanted ranks.
 

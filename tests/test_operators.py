@@ -182,15 +182,15 @@ def test_adult_rules(spark):
         films.mature_flags(df, adult="other")
 
 
-@pytest.mark.parametrize("accuracy,limit", [(10_000, 200_000), (50, 100), (50, 5)])
-def test_exact_quantiles_against_numpy(spark, accuracy, limit):
+@pytest.mark.parametrize("accuracy,limit,pivots", [(10_000, 200_000, 10**6), (50, 100, 10**6), (50, 5, 10**6), (1000, 100, 200)])
+def test_exact_quantiles_against_numpy(spark, accuracy, limit, pivots):
     rng = np.random.default_rng(3)
     smooth = rng.normal(size=5000)
     hot = np.where(rng.random(5000) < 0.4, 1.0, rng.integers(0, 4, 5000))
     rows = [(float(a), None if i % 7 == 0 else float(b), None) for i, (a, b) in enumerate(zip(smooth, hot))]
     df = spark.createDataFrame(rows, "a double, b double, empty double").repartition(8)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    out = {(r.feature, r.prob): r.value for r in exact_quantiles(df, ["a", "b", "empty"], probs, accuracy, limit).collect()}
+    out = {(r.feature, r.prob): r.value for r in exact_quantiles(df, ["a", "b", "empty"], probs, accuracy, limit, pivots).collect()}
     kept = [r[1] for r in rows if r[1] is not None]
     for p in probs:
         assert out["a", p] == pytest.approx(np.quantile(smooth, p), abs=1e-12)
