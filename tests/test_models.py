@@ -205,3 +205,47 @@ def test_log_gamma(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r[0] for r in df.select(models.log_gamma(F.col("x"))).collect()]
     assert got == pytest.approx([math.lgamma(x) for x in xs], rel=1e-10, abs=1e-8)
+
+
+def test_final_model_has_all_its_terms(spark):
+    from folkscope.plans.culture import fit_culture_model
+
+    rng = np.random.default_rng(4)
+    rows = [
+        (
+            ["High income", "Upper middle income", "Lower middle income"][i % 3],
+            ["accepted", "not accepted"][int(rng.integers(2))],
+            ["Very important", "Not at all important", "Somewhat important"][int(rng.integers(3))],
+            *[float(v) for v in rng.normal(size=5)],
+            int(rng.integers(20, 80)),
+            int(rng.integers(50, 300)),
+        )
+        for i in range(40)
+    ]
+    schema = (
+        "income_level string, HOMOSEXUALITY string, RELIGION_IMPORT string, extrapolated_genderY double, pdi double, "
+        "ltowvs double, ivr double, budget_mean double, maturecontent_sum int, notmature_sum int"
+    )
+    df = spark.createDataFrame(rows, schema)
+    fitted = fit_culture_model(df)
+    assert fitted.names[:3] == ["(Intercept)", "income_level_Lower middle income", "income_level_Upper middle income"]
+    assert len(fitted.names) == 11
+    scored = models.predict_class(df, fitted, 0.2).collect()
+    total = sum(r.probability * (r.maturecontent_sum + r.notmature_sum) for r in scored)
+    assert total == pytest.approx(sum(r.maturecontent_sum for r in scored), abs=1e-6)
+    importance = inference.variable_importance(spark, fitted).collect()
+    assert [r.importance for r in importance] == sorted((r.importance for r in importance), reverse=True)
+
+
+def test_sigma_is_the_left_out_deviation(counts, fit):
+    rows = diagnostics.augment(counts, fit).collect()
+    total = sum(r.resid**2 for r in rows)
+    assert total == pytest.approx(fit.deviance, abs=1e-6)
+    for r in rows:
+        assert r.sigma == pytest.approx(math.sqrt((total - r.resid**2 / (1 - r.hat)) / (60 - 5 - 1)), abs=1e-8)
+
+
+def test_profile_intervals_cover_all_terms(counts):
+    small = models.fit_binomial(counts, "m", "o", ["x"])
+    rows = inference.profile_intervals(counts, small).collect()
+    assert [r.term for r in rows] == small.names and all(r.lower < r.estimate < r.upper for r in rows)

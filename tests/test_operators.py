@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folkscope.fixed_values import ACCEPTANCE_LEVELS, CULTURE_CODES, IMPORTANCE_LEVELS, NAME_ALIASES
 from folkscope.operators import aggregates, joins, missing, ordering, profile, reshape, survey
 from folkscope.operators.quantiles import exact_quantiles
-from folkscope.plans import films
+from folkscope.plans import culture, films
 from folkscope.sources import delimited, records
 
 # Published weighted answers of two countries, their majority and merged levels.
@@ -248,3 +248,32 @@ def test_scratch_folder_follows_the_session(spark):
     path = scratch_path(spark, "x")
     assert path.startswith(root) if root else "folkscope" in path
     assert path != scratch_path(spark, "x")
+
+
+def test_population_year_is_picked_before_the_join(spark):
+    countries = spark.createDataFrame([("X",), ("Y",)], "country string")
+    population = spark.createDataFrame([("X", 2020, 1.0), ("X", 2021, 2.0)], "country string, year int, population double")
+    out = culture.countries_with_population(countries, population, 2021).collect()
+    assert {r.country: r.population for r in out} == {"X": 2.0, "Y": None} and len(out) == 2
+
+
+def test_chart_countries(spark):
+    rows = [("United States of America", "High income"), ("United States of America", "High income"), ("Narnia", "NA"), ("Oz", None)]
+    df = spark.createDataFrame(rows, "production_countries_name string, income_level string")
+    assert [tuple(r) for r in culture.chart_countries(df).collect()] == [("United States", "High income")]
+
+
+def test_stored_split_reads_the_same_rows(spark):
+    df = spark.range(90).select((F.col("id") % 3).cast("string").alias("level"), "id")
+    for stored in (False, True):
+        parts = missing.split_by_level(df, "level", ["0", "1"], stored=stored)
+        assert {k: sorted(r.id for r in p.collect()) for k, p in parts.items()} == {
+            "0": list(range(0, 90, 3)),
+            "1": list(range(1, 90, 3)),
+        }
+
+
+def test_diverging_share_counts_all_other_answers_as_no(spark):
+    df = spark.createDataFrame([("yes", 0.6), ("no", 0.3), ("refused", 0.1), (None, 0.2)], "a string, s double")
+    out = survey.diverging_share(df, "a", "s", ["yes"]).collect()
+    assert [(r.a, r.response) for r in out] == [("Yes", 0.6), ("No", -0.3), ("No", -0.1), (None, None)]
