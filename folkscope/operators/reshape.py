@@ -33,8 +33,10 @@ def bounded_levels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVE
         .collect()
     )
     levels = {c: sorted(row.v for row in found if row.c == c) for c in columns}
+    if len(found) > max_levels * len(columns):
+        raise ValueError(f"columns {columns} have together more than {max_levels} levels each")
     for column, values in levels.items():
-        if len(values) > max_levels or len(found) > max_levels * len(columns):
+        if len(values) > max_levels:
             raise ValueError(f"column {column} has more than {max_levels} levels")
     return levels
 

@@ -151,6 +151,7 @@ perc AS (SELECT production_countries_name, genres_name,
     WHERE production_countries_name IN (SELECT n_name FROM nation WHERE n_regionkey <> 2) AND genres_name <> 'NA'""",
 )
 def genre_profile(spark, folder):
+    """Heatmap cells of the countries that occur in another table, as the source keeps surveyed countries only."""
     recent = recent_films(films(spark, folder), YEAR)
     profile = level_profile(recent, "production_countries_name", "genres_name", TYPES)
     kept = table(spark, folder, "nation").filter("n_regionkey <> 2")

@@ -124,13 +124,13 @@ def diverging_share_query(spark, folder):
 
 @query(
     "cast_types",
-    """SELECT o_orderkey, TRY_CAST(left(o_orderpriority, 1) AS DOUBLE) AS step,
+    """SELECT o_orderkey, TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) AS step,
        TRY_CAST(o_orderstatus AS DOUBLE) AS bad, CAST(o_custkey AS VARCHAR) AS customer FROM orders""",
 )
 def cast_types(spark, folder):
     return table(spark, folder, "orders").select(
         "o_orderkey",
-        F.substring("o_orderpriority", 1, 1).try_cast("double").alias("step"),
+        F.substring_index("o_orderpriority", "-", 1).try_cast("double").alias("step"),
         F.col("o_orderstatus").try_cast("double").alias("bad"),
         F.col("o_custkey").cast("string").alias("customer"),
     )

@@ -54,6 +54,7 @@ def join_left(spark, folder):
     LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey""",
 )
 def join_left_named(spark, folder):
+    """Nations of some regions are unknown to the dimension, so unmatched keys occur."""
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, folder, "nation").filter("n_regionkey < 3").select("n_nationkey", "n_name")
     return joins.join_named(suppliers, nations, "s_nationkey", "n_nationkey", "left")
@@ -65,6 +66,7 @@ def join_left_named(spark, folder):
     WHERE s_acctbal > 5000""",
 )
 def join_inner_named(spark, folder):
+    """Order lines of solvent suppliers: the condition on the dimension makes the join drop rows."""
     lines = table(spark, folder, "lineitem").select("l_suppkey", "l_orderkey", "l_extendedprice")
     suppliers = table(spark, folder, "supplier").filter("s_acctbal > 5000").select("s_suppkey", "s_name")
     return joins.join_named(lines, suppliers, "l_suppkey", "s_suppkey", "inner")
@@ -116,6 +118,7 @@ def join_map_attributes(spark, folder):
         income_level FROM shares LEFT JOIN (SELECT * FROM countries WHERE income_level <> 'ASIA') USING (country)""",
 )
 def sql_left_join_using(spark, folder):
+    """Countries of one region have no level, so unmatched countries occur."""
     shares = weighted_shares(survey(spark, folder), "country", "answer")
     known = countries(spark, folder).filter("income_level <> 'ASIA'").select("country", "income_level")
     return answer_chart(shares, known, "answer", YES).withColumn("response", F.round("response", 8))

@@ -185,7 +185,7 @@ def distribution_bins(spark, folder):
 @query(
     "qq_points",
     " UNION ALL ".join(
-        f"SELECT CAST({p} AS DOUBLE) AS prob, round({NormalDist().inv_cdf(p)!r}, 8) AS theoretical, "
+        f"SELECT CAST({p} AS DOUBLE) AS prob, round({NormalDist().inv_cdf(p)!r}::DOUBLE, 8) AS theoretical, "
         f"round(quantile_cont(l_extendedprice, {p}), 4) AS sample FROM lineitem"
         for p in QQ_PROBS
     ),

@@ -109,7 +109,7 @@ def parse_dmy(spark, folder):
     return orders.select("o_orderkey", dates.parse_dmy("release_date").alias("release_date"))
 
 
-@query("year_of", f"WITH {FILMS} SELECT year, count(*) AS n FROM films GROUP BY year")
+@query("year_of", f"WITH {FILMS} SELECT CAST(year AS INTEGER) AS year, count(*) AS n FROM films GROUP BY 1")
 def year_of(spark, folder):
     rows = films(spark, folder, country=False, genre=False)
     return rows.groupBy(F.year(dates.parse_dmy("release_date")).alias("year")).agg(F.count(F.lit(1)).alias("n"))
@@ -203,7 +203,7 @@ def row_caption(spark, folder):
 
 @query(
     "number_sequence",
-    """SELECT round(-1 + i * 0.2, 6) AS tick, (SELECT count(*) FROM customer
+    """SELECT CAST(round(-1 + i * 0.2, 6) AS DOUBLE) AS tick, (SELECT count(*) FROM customer
         WHERE c_acctbal / 10000 >= -1 + i * 0.2 - 1e-9) AS n_above
     FROM range(0, 11) t(i)""",
 )

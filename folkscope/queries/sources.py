@@ -96,6 +96,7 @@ def json_flatten_first(spark, folder):
     FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 4) ON c_nationkey = n_nationkey""",
 )
 def decode_labels(spark, folder):
+    """One region's codes carry no label and stay as categories of their own."""
     labels = table(spark, folder, "nation").filter("n_regionkey < 4")
     customers = table(spark, folder, "customer")
     decoded = records.decode_labels(customers, "c_nationkey", labels, "n_nationkey", "n_name", "answer")
