@@ -85,9 +85,8 @@ def json_flatten_first(spark, folder):
             )
         ).alias("record")
     )
-    return records.flatten_film_records(rows).select(
-        "imdb_id", "adult", "genres_name", "production_countries_name", "budget", "vote_count"
-    )
+    fields = ["imdb_id", "adult", "genres_name", "production_countries_name", "budget", "vote_count"]
+    return records.flatten_film_records(rows, fields=fields)
 
 
 @query(

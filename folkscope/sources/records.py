@@ -34,22 +34,22 @@ def first_name(array: str) -> Column:
     return F.get(F.filter(names, lambda name: name.isNotNull()), F.lit(0))
 
 
-def flatten_film_records(df: DataFrame, text: str = "record") -> DataFrame:
+FIRST_NAMES = {"genres_name": "genres", "production_countries_name": "production_countries"}
+
+
+def flatten_film_records(df: DataFrame, text: str = "record", fields: list[str] = FILM_FIELDS) -> DataFrame:
     """JSON film records to one flat row each, first genre and country kept.
 
     The parsed record is unfolded by a generator: a later filter on one of its fields
     then stays above the parse, where a plain projection would parse once for the
-    filter and again for the row.
+    filter and again for the row. Only the parts of the wanted fields are parsed.
     """
-    record = df.select(F.inline(F.array(F.from_json(text, FILM_RECORD))))
-    flat = record.withColumns(
-        {
-            "adult": F.when(F.col("adult"), "TRUE").when(~F.col("adult"), "FALSE"),
-            "genres_name": first_name("genres"),
-            "production_countries_name": first_name("production_countries"),
-        }
-    )
-    return flat.select(*FILM_FIELDS).filter(F.col("imdb_id").isNotNull())
+    parts = {"imdb_id", *[FIRST_NAMES.get(f, f) for f in fields]}
+    schema = T.StructType([f for f in FILM_RECORD.fields if f.name in parts])
+    record = df.select(F.inline(F.array(F.from_json(text, schema)))).filter(F.col("imdb_id").isNotNull())
+    special = {name: first_name(array) for name, array in FIRST_NAMES.items()}
+    special["adult"] = F.when(F.col("adult"), "TRUE").when(~F.col("adult"), "FALSE")
+    return record.select(*[special[f].alias(f) if f in special else F.col(f) for f in fields])
 
 
 def decode_labels(df: DataFrame, code: str, labels: DataFrame, label_code: str, label: str, name: str) -> DataFrame:
