@@ -11,7 +11,7 @@ import os
 import time
 
 from folkscope.queries import QUERIES
-from folkscope.session import build_session
+from folkscope.session import build_session, clear_scratch
 
 HEADLINE = [
     "country_content",
@@ -56,6 +56,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[key](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[key] = round(time.perf_counter() - start, 3)
+    clear_scratch(spark)
     spark.stop()
     line = {
         "metric": "headline_queries_total",

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def build_session(app: str = "folkscope", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -32,22 +29,28 @@ def build_session(app: str = "folkscope", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _application_scratch(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{root.rstrip('/')}/folkscope/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the folder shared by all executors.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session may do
-    without it, where driver and executors are one process. Everything an
-    application writes is below one folder named by its id, to be cleared after it.
+    The folder comes from ``spark.checkpoint.dir``; where that is unset, as in tests, a
+    folder in the warehouse stands in, which executors share as well. Everything an
+    application writes is below one folder named by its id; ``clear_scratch`` removes it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="folkscope-")
-        root = _LOCAL_ROOTS[app]
-    return f"{root.rstrip('/')}/folkscope/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_application_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote to its scratch folder; frames built on it end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
-from folkscope.session import build_session  # noqa: E402
+from folkscope.session import build_session, clear_scratch  # noqa: E402
 from oracle import compare, connect  # noqa: E402
 
 from folkscope.queries import ORACLES, QUERIES  # noqa: E402
@@ -24,6 +24,7 @@ def main() -> int:
             ok, detail, took = False, f"{type(error).__name__}: {str(error)[:600]}", 0.0
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {key:24s} {took:6.2f}s {detail}", flush=True)
+    clear_scratch(spark)
     print(f"{len(keys) - bad} of {len(keys)} match")
     return bad
 
