@@ -1,6 +1,8 @@
 """All queries of this subpackage; importing this module registers them."""
 
 from folkscope.llm import (  # noqa: F401
+    chat,
+    mixing,
     secrets,
 )
 from folkscope.llm.registry import LLM_ORACLES, LLM_QUERIES
