@@ -3,7 +3,9 @@
 from folkscope.llm import (  # noqa: F401
     chat,
     mixing,
+    quality,
     secrets,
+    warc,
 )
 from folkscope.llm.registry import LLM_ORACLES, LLM_QUERIES
 
