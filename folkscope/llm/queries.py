@@ -5,6 +5,7 @@ from folkscope.llm import (  # noqa: F401
     mixing,
     quality,
     secrets,
+    simhash,
     warc,
 )
 from folkscope.llm.registry import LLM_ORACLES, LLM_QUERIES
