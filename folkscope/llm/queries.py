@@ -6,6 +6,7 @@ from folkscope.llm import (  # noqa: F401
     quality,
     secrets,
     simhash,
+    topk,
     warc,
 )
 from folkscope.llm.registry import LLM_ORACLES, LLM_QUERIES
