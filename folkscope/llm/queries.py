@@ -6,6 +6,7 @@ from folkscope.llm import (  # noqa: F401
     quality,
     secrets,
     simhash,
+    tokens,
     topk,
     warc,
 )
