@@ -2,6 +2,7 @@
 
 from folkscope.llm import (  # noqa: F401
     chat,
+    decontaminate,
     mixing,
     quality,
     secrets,
