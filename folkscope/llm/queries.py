@@ -7,6 +7,7 @@ from folkscope.llm import (  # noqa: F401
     quality,
     secrets,
     simhash,
+    substrings,
     tokens,
     topk,
     warc,
