@@ -18,13 +18,16 @@ first; rows that repeat a doc_id are documents each, ordered by their ids' bytes
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,68 +39,149 @@ from folkscope.session import scratch_path
 END_ID = 2
 PROBABILITY_BITS = 20
 LOW = np.uint64(1 << 31)  # states lie in [LOW, LOW << 32); words of 32 bits move out and in
-LANES = 512
+LANES = 1024
 BLOCK_IDS = 1 << 19
-CHECKPOINT_ROWS = 256
+CHECKPOINT_ROWS = 128
 MAGIC = 0x31534E52  # "RNS1"
 HEADER = "<IIIIII"
-CACHE_WORDS = 1 << 18
-CACHE_BYTES = 1 << 25
-ENCODE_TOGETHER = 4_096
-
-
-class WordEncoder:
-    """Encodes whole texts through the tokenizer, each distinct word once.
-
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of
-    its words one after the other. What a word gives is kept while the cache has room;
-    a full cache starts anew.
+CACHE_PIECES = 1 << 19
+CACHE_CHARS = 1 << 25
+TOGETHER = 256  # pieces handed to the tokenizer at once
+GATHER_WORDS = 1 << 18
+
+# The settings of a tokenizer under which a text may be encoded piece by piece.
+END_OF_WORD = "</w>"
+SPECIAL = "<|"  # how its special tokens begin
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+KNOWN_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# The same pattern for characters that normalising leaves alone but for A-Z and the like: ASCII, Latin-1, some marks.
+WHITE = "\\x09-\\x0d\\x20"
+PLAIN = "\\x21-\\x7e\\xa1-\\xff\\u2010-\\u2027\\u20ac"
+LETTERS, NUMBERS = "a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+PIECE = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE}{LETTERS}{NUMBERS}]+"
+
+
+class TextEncoder:
+    """Encodes whole texts through the tokenizer, each distinct piece of text once.
+
+    Where the tokenizer's settings are the known ones, no token crosses from one piece to
+    the next, so a text's ids are those of its pieces one after the other, and every piece
+    ends in a token with the end-of-word suffix, by which pieces that are encoded together
+    are told apart. What a piece gives is kept while the cache has room; a full cache
+    starts anew. Words with characters beyond ``PLAIN``, whose splitting rules are the
+    tokenizer's alone, are pieces as they stand. With other settings texts go to the
+    tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
+        made = json.loads(self.tokenizer.to_str())
+        self.in_pieces = (
+            made["normalizer"] == KNOWN_NORMALIZER
+            and made["pre_tokenizer"] == KNOWN_SPLITTER
+            and made["post_processor"] is None
+            and made["model"]["end_of_word_suffix"] == END_OF_WORD
+            and all(t["content"].startswith(SPECIAL) and not t["lstrip"] and not t["rstrip"] for t in made["added_tokens"])
+        )
+        if self.in_pieces:
+            self.plain, self.piece = re.compile(f"[{PLAIN}]+"), re.compile(PIECE)
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END_OF_WORD)]] = True
+            self.reset()
 
     def reset(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.held = 0  # bytes of the kept words
-        self.ids = np.zeros(1 << 16, np.uint32)  # of all kept words, one after the other
-        self.bounds = np.zeros(1 << 14, np.int64)  # where those of each word begin and end
-
-    def learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), ENCODE_TOGETHER):
-            part = words[k : k + ENCODE_TOGETHER]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            known = len(self.place)
-            self.held += sum(map(len, part))
-            ends = self.bounds[known] + np.cumsum([len(ids) for ids in found])
-            while len(self.bounds) <= known + len(part):
-                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            while len(self.ids) < ends[-1]:
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.bounds[known] : ends[-1]] = [i for ids in found for i in ids]
-            self.bounds[known + 1 : known + 1 + len(part)] = ends
-            self.place.update(zip(part, range(known, known + len(part)), strict=True))
-
-    def encode(self, data: bytes) -> np.ndarray:
-        words = data.split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:
+        self.place: dict[str, int] = {}
+        self.held = 0  # characters of the kept pieces
+        self.ids = np.zeros(1 << 16, np.uint32)  # of all kept pieces, one after the other
+        self.bounds = np.zeros(1 << 14, np.int64)  # where those of each piece begin and end
+
+    def pieces(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """The pieces of all words, and how many each word has."""
+        found: list[str] = []
+        counts = []
+        plain, split = self.plain.fullmatch, self.piece.findall
+        for word in words:
+            part = split(word.lower()) if plain(word) and SPECIAL not in word else [word] if word else []
+            found += part
+            counts.append(len(part))
+        return found, counts
+
+    def learn(self, pieces: list[str]) -> None:
+        plain = self.plain.fullmatch
+        simple, other = [], []
+        for piece in pieces:
+            (simple if plain(piece) and SPECIAL not in piece else other).append(piece)
+        for k in range(0, len(simple), TOGETHER):
+            part = simple[k : k + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer split pieces further than its settings say")
+            self.keep(part, ids, ends)
+        for piece in other:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32)
+            self.keep([piece], ids, np.array([len(ids)]))
+
+    def keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        known = len(self.place)
+        begin = int(self.bounds[known])
+        while len(self.bounds) <= known + len(pieces):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        while len(self.ids) < begin + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[begin : begin + len(ids)] = ids
+        self.bounds[known + 1 : known + 1 + len(pieces)] = begin + ends
+        self.place.update(zip(pieces, range(known, known + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; a null text is an empty one."""
+        if not self.in_pieces:
+            for text in texts.to_pylist():
+                yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+            return
+        split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        if len(self.place) > CACHE_PIECES or self.held > CACHE_CHARS:
             self.reset()
-        place = self.place
-        missing = [w for w in dict.fromkeys(words) if w not in place]
-        if missing:
-            self.learn(missing)
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        start = self.bounds[at]
-        count = self.bounds[at + 1] - start
-        total = int(count.sum())
-        offset = np.cumsum(count) - count
-        out = self.ids[np.arange(total) + np.repeat(start - offset, count)]
-        return out
+        pieces, counts = self.pieces(coded.dictionary.to_pylist())
+        self.learn(list(set(pieces).difference(self.place)))
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        ids, ends = gathered(self.ids, self.bounds[at], self.bounds[at + 1])  # of the distinct words' pieces
+        ends = np.concatenate([[0], ends])
+        last = np.cumsum(counts)
+        begin, end = ends[last - counts], ends[last]  # of each distinct word
+        first = 0
+        while first < len(texts):  # some texts at a time
+            stop = max(first + 1, int(np.searchsorted(bounds, bounds[first] + GATHER_WORDS, side="right")) - 1)
+            words = codes[bounds[first] : bounds[stop]]
+            out, out_ends = gathered(ids, begin[words], end[words])
+            cuts = np.concatenate([[0], out_ends])[bounds[first : stop + 1] - bounds[first]]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield out[a:b]
+            first = stop
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all given ranges, one range after the other, and where each ends in what results."""
+    count = end - begin
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(begin - (ends - count), count)], ends
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -117,12 +201,10 @@ def tokenize(docs: DataFrame, path: str | None, end_id: int, kind: np.dtype) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = WordEncoder(tokenizer_path(path))
+        encoder = TextEncoder(tokenizer_path(path))
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
             rows = []
-            for text in texts:
-                ids = encoder.encode(text.as_py() or b"")
+            for ids in encoder.encode(batch.column(1)):
                 out = np.empty(len(ids) + 1, kind)
                 out[:-1], out[-1] = ids, end_id
                 rows.append(out)
@@ -330,42 +412,34 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     return spark.read.schema(INDEX).parquet(f"{folder}/index"), frequencies
 
 
-READ = "shard int, block int, doc_id long, before long, n_tokens long, ids_crc32 long"
-READ_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-
-
 def read_token_files(index: DataFrame, frequencies: np.ndarray) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files; each block is one unit of work."""
-    table = index.sparkSession.sparkContext.broadcast(frequencies)
+    spark = index.sparkSession
+    table = spark.sparkContext.broadcast(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(table.value)
         for batch in batches:
-            for shard, block, name, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, at, length, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with open_input(name) as file:
                     file.seek(at)
                     view = BlockView(coder, file.read(length))
                 data, ends = view.ids().astype("<u4").tobytes(), np.cumsum(view.lengths)
                 begins = ends - view.lengths
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                n = len(crc)
-                columns = [[shard] * n, [block] * n, view.doc_ids, begins, view.lengths, crc]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(columns, READ_ARROW, strict=True)], schema=READ_ARROW)
+                columns = [view.doc_ids, start + begins, view.lengths, crc]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # Where a block's ids begin among all: shards are summed first, then blocks within their shard.
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     shards = shards.select(F.col("shard").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        index.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(shards, F.col("shard") == F.col("of"))
-        .select(F.col("shard").alias("s"), F.col("block").alias("b"), (F.col("shard_start") + F.col("inside")).alias("block_start"))
-    )
-    decoded = index.select("shard", "block", "file", "at", "length").repartition("shard", "block").mapInArrow(run, READ)
-    return decoded.join(starts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select(
-        "doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    placed = index.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(shards, F.col("shard") == F.col("of"))
+    placed = placed.select("file", "at", "length", (F.col("shard_start") + F.col("inside")).alias("start"))
+    # Rows are few and small but stand for much work, so the number of tasks is named.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "file", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 from tokenizers import Tokenizer
@@ -21,15 +22,37 @@ def plain_ids(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_word_by_word_is_the_whole_text(monkeypatch):
-    tokenizer, encoder = Tokenizer.from_file(PATH), T.WordEncoder(PATH)
-    monkeypatch.setattr(T, "CACHE_WORDS", 5_000)
+def test_piece_by_piece_is_the_whole_text(monkeypatch):
+    tokenizer, encoder = Tokenizer.from_file(PATH), T.TextEncoder(PATH)
+    assert encoder.in_pieces
+    monkeypatch.setattr(T, "CACHE_PIECES", 5_000)
+    monkeypatch.setattr(T, "GATHER_WORDS", 700)
     texts = ODD + ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table(columns=["text"])["text"].to_pylist()
-    for text in texts:
-        assert encoder.encode((text or "").encode()).tolist() == plain_ids(tokenizer, text), repr((text or "")[:80])
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        for text, ids in zip(part, encoder.encode(pa.array(part, pa.string())), strict=True):
+            assert ids.tolist() == plain_ids(tokenizer, text), repr((text or "")[:80])
 
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 40_000])
+def test_every_plain_character_by_itself_and_between_others():
+    tokenizer, encoder = Tokenizer.from_file(PATH), T.TextEncoder(PATH)
+    plain = [chr(c) for c in range(0x3000) if encoder.plain.fullmatch(chr(c))]
+    rng = random.Random(8)
+    texts = [f"a{c}B {c}{c}1 '{c}'s {c}" for c in plain] + ["".join(rng.choices(plain, k=60)) for _ in range(3000)]
+    texts += ["".join(rng.choices([*plain, "ſ", "İ", "\u0301", "\xa0", "あ", "'re", "'ll", "<|endoftext|>"], k=30)) for _ in range(2000)]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == plain_ids(tokenizer, text), repr(text)
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = T.TextEncoder(path)
+    assert not encoder.in_pieces
+    for text, ids in zip(ODD, encoder.encode(pa.array(ODD, pa.string())), strict=True):
+        assert ids.tolist() == plain_ids(Tokenizer.from_file(path), text)
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 40_000])
 def test_coder_round_trip_and_checkpoints(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.01, n), 999).astype(np.uint32)
