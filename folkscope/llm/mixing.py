@@ -76,23 +76,24 @@ def mix_sources(
     total_share: float = TOTAL_SHARE,
     max_epochs: float = MAX_EPOCHS,
     slice_rows: int = SLICE_ROWS,
+    carry: str | None = None,
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
     ``docs`` has doc_id, text and source; ``weights`` may give a quality ``weight`` for a
-    doc_id, once each. Returns doc_id, source, size, key, source_size, target, epochs (whole
+    doc_id, once each; ``carry`` names a further column that comes along. Returns doc_id, source, size, key, source_size, target, epochs (whole
     passes of its source), picked (taken once more), taken.
     """
-    sizes = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size")
-    )
+    also = [carry] if carry else []
+    size = word_count(F.col("text").cast("string")).alias("size")
+    sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size, *also)
     if weights is not None:
         named = weights.select(F.col("doc_id").cast("long").alias("weighted_id"), "weight")
         sizes = sizes.join(named, F.col("doc_id") == F.col("weighted_id"), "left").drop("weighted_id")
     else:
         sizes = sizes.withColumn("weight", F.lit(1.0))
     usable = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
-    keyed = sizes.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / usable).alias("key"))
+    keyed = sizes.select("doc_id", "source", "size", *also, (-F.log(uniform(F.col("doc_id"))) / usable).alias("key"))
     keyed = materialise(keyed, "mix-keys")  # words are counted once, and every pass sees the same keys
 
     targets = source_targets(keyed, cycle, total_share, max_epochs)
@@ -129,6 +130,7 @@ def mix_sources(
         F.col("epochs").cast("long").alias("epochs"),
         picked.alias("picked"),
         (F.col("size") * (F.col("epochs") + picked.cast("long"))).cast("long").alias("taken"),
+        *also,
     )
 
 

@@ -171,6 +171,8 @@ def score_documents(docs: DataFrame, model: Model, keep: str = "doc_id long, sco
     ``docs`` has ``text``; of its other columns those named in ``keep`` come along.
     """
     names = [part.split()[0] for part in keep.split(", ") if not part.startswith("score ")]
+    sent = names if "text" in names else [*names, "text"]
+    at = sent.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.good, model.bad) if model.coefficients else None
@@ -178,15 +180,14 @@ def score_documents(docs: DataFrame, model: Model, keep: str = "doc_id long, sco
         for batch in batches:
             scores = np.full(batch.num_rows, model.prior)
             if features is not None:
-                texts = batch.column(0).cast(pa.large_binary()).to_pylist()
+                texts = batch.column(at).cast(pa.large_binary()).to_pylist()
                 full = [k for k, t in enumerate(texts) if t]
                 if full:
                     x = (np.array([features.of(texts[k]) for k in full]) - mean) / spread
                     scores[full] = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores)], names=[*names, "score"])
 
-    columns = [F.col("text").cast("string").alias("text"), *(F.col(n) for n in names)]
-    return docs.select(*columns).mapInArrow(run, keep)
+    return docs.select(*sent).withColumn("text", F.col("text").cast("string")).mapInArrow(run, keep)
 
 
 def is_held_out(doc_id) -> F.Column:

@@ -62,16 +62,19 @@ def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed 64-bit numbers."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed 64-bit numbers. ``carry`` names a long column to come along."""
+    also = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             values = np.array([fingerprint(t.as_py() or b"", shingle_words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *also]
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 class BKForest:
@@ -235,15 +238,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id that links of fingerprints reach."""
-    marked = materialise(fingerprints(docs, shingle_words), "fingerprints")
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row.
+
+    ``root`` names a component by one of its fingerprints, ``component_id`` is the smallest
+    doc_id that links of fingerprints reach. ``carry`` names a long column of ``docs`` that comes along.
+    """
+    marked = materialise(fingerprints(docs, shingle_words, carry), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = materialise(components(shard_links(nodes.select("fp"), radius)), "components")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r")
-    named = materialise(rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "named")
-    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    named = materialise(rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id"), "named")
+    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "root", "component_id", *([carry] if carry else []))
 
 
 def hex_digits(fp) -> F.Column:

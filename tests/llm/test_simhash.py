@@ -94,7 +94,7 @@ def test_documents(spark):
     rows += [(100 + i, " ".join(base[:k] + ["changed"] + base[k:])) for i, k in enumerate((3, 400, 800))]
     rows += [(50, " ".join(base).upper()), (60, " ".join(base)), (60, " ".join(base)), (None, " ".join(base)), (None, "alone here now")]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, fp string")
-    out = S.near_duplicates(frame).collect()
+    out = S.near_duplicates(frame).select("doc_id", "fp", "component_id").collect()
     fps = [brute_fingerprint(t) for _, t in rows]
     label = brute_roots(fps)
     want = []
