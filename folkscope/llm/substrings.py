@@ -17,10 +17,12 @@ with a smaller doc_id. Windows are found in four steps.
    in a factor reach over its end, so they are looked up by themselves.
 4. Removal. Spans are merged per document and cut from its text.
 
-An anchor with more than ``HOT`` occurrences would make a block too large for a task. Its
-windows go by themselves: a 128-bit hash per window, whose smallest doc_id is found with
-partial aggregation. So a passage that a third of all documents share is no burden for
-any one task, and nothing is left out.
+What lies around an anchor with more than ``CROWDED`` occurrences has a block of its own.
+One with more than ``HOT`` would make a block too large for a task. Its windows go by
+themselves: a 128-bit hash per window, whose smallest doc_id is found with partial
+aggregation. So a passage that a third of all documents share is no burden for any one
+task, and nothing is left out. Both limits bound a block: some 23 anchors stand in a slab of
+512 words, and 92 words lie around an anchor, so it holds about 1.5 million words at most.
 
 Defined cases: a null text has no words; rows that repeat a doc_id are documents that do
 not count as smaller than each other; a null doc_id counts as larger than any other, and
@@ -42,7 +44,8 @@ from folkscope.session import materialise, scratch_path
 
 WINDOW = 50
 GRAM = 8
-HOT = 2_000
+CROWDED = 700  # occurrences of an anchor after which it leaves its slab's block
+HOT = 16_000
 SLAB_WORDS = 512
 BLOCK_WORDS = 1 << 19  # words after which a task closes a batch of whole blocks
 CACHE_WORDS = 1 << 19
@@ -309,7 +312,7 @@ def merge_spans(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[new, 0].tolist(), furthest[last].tolist(), strict=True))
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, slab: int = SLAB_WORDS) -> DataFrame:
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, hot: int = HOT, slab: int = SLAB_WORDS) -> DataFrame:
     """(doc_id, tag, begin, end) in words, unmerged: where a document repeats a smaller one.
 
     ``docs`` has doc_id and tag, not null, and text; the two name a row.
@@ -321,7 +324,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
         .where("first.doc_id < last")
         .select(
             F.col("anchor").alias("shared_anchor"),
-            F.xxhash64("first.doc_id", F.floor(F.col("first.place") / slab)).alias("key"),
+            F.when(F.col("n") > crowded, F.xxhash64("anchor"))
+            .otherwise(F.xxhash64("first.doc_id", F.floor(F.col("first.place") / slab)))
+            .alias("key"),
             (F.col("n") > hot).alias("hot"),
         )
     )
@@ -344,12 +349,12 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     return by_block.unionByName(by_window.select("doc_id", "tag", begin.alias("begin"), (begin + window).alias("end")))
 
 
-def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, slab: int = SLAB_WORDS) -> DataFrame:
+def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, hot: int = HOT, slab: int = SLAB_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of ``docs`` (doc_id, text)."""
     text = F.col("text").cast("string")
     # Rows that repeat a doc_id are told apart by their text.
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    spans = duplicate_spans(docs, window, gram, hot, slab)
+    spans = duplicate_spans(docs, window, gram, crowded, hot, slab)
     spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = docs.join(spans, (F.col("doc_id") == F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left").select("doc_id", "text", "spans")
 

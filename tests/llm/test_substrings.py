@@ -49,12 +49,15 @@ def corpus(seed, window):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "hot", "slab", "block"), [(1, 2000, 512, 1 << 19), (2, 3, 512, 1 << 19), (3, 0, 16, 100), (4, 8, 16, 300), (5, 2000, 1, 1)])
-def test_against_all_windows(spark, monkeypatch, seed, hot, slab, block):
+@pytest.mark.parametrize(
+    ("seed", "crowded", "hot", "slab", "block"),
+    [(1, 700, 16_000, 512, 1 << 19), (2, 3, 3, 512, 1 << 19), (3, 0, 0, 16, 100), (4, 3, 8, 16, 300), (5, 700, 900, 1, 1), (6, 0, 900, 64, 50)],
+)
+def test_against_all_windows(spark, monkeypatch, seed, crowded, hot, slab, block):
     monkeypatch.setattr(S, "BLOCK_WORDS", block)
     docs = corpus(seed, 20)
     frame = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, tag string")
-    out = S.remove_duplicates(frame, window=20, gram=4, hot=hot, slab=slab).collect()
+    out = S.remove_duplicates(frame, window=20, gram=4, crowded=crowded, hot=hot, slab=slab).collect()
     assert sorted(map(tuple, out), key=str) == brute(docs, 20)
 
 
