@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-from operator import add
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folkscope.fixed_values import INFLUENTIAL_ROWS, RESIDUAL_BAND
 from folkscope.functions.numbers import log_odds
 from folkscope.operators.missing import numeric_columns
-from folkscope.operators.models import INTERCEPT, BinomialFit, Design, design, fit_binomial
+from folkscope.operators.models import INTERCEPT, BinomialFit, Design, array_literal, design, fit_binomial, gram_matrix
 from folkscope.operators.ordering import top_n_ties
 from folkscope.session import materialise
 
@@ -23,28 +20,31 @@ FULL_LEVERAGE_GAP = 1e-9
 def augment(df: DataFrame, fit: BinomialFit) -> DataFrame:
     """Fitted value, residuals, leverage, left-out deviation and Cook's distance of every complete row.
 
-    Leverage is w x' V x with the p-by-p covariance V as constants, so each row is
-    computed on its own and the n-by-n hat matrix never exists. A row with leverage
+    Leverage is w x' V x over a row's non-zero terms with the p-by-p covariance V as a
+    constant, so each row is computed on its own and the n-by-n hat matrix never exists. A row with leverage
     one fits itself: its standardised residual and distance are undefined, hence null.
     """
-    terms = fit.plan.terms()
-    m = F.col(fit.successes).cast("double")
-    n = m + F.col(fit.failures).cast("double")
-    rows = df.dropna(subset=[fit.successes, fit.failures, *fit.plan.predictors]).filter(n > 0)
-    rows = rows.withColumns({f"_x{i}": col for i, (_, col) in enumerate(terms)})
-    rows = rows.withColumn("link_fitted", reduce(add, [F.lit(float(b)) * F.col(f"_x{i}") for i, b in enumerate(fit.coefficients)]))
+    m = fit.successes.cast("double")
+    n = m + fit.failures.cast("double")
+    k = len(fit.names)
+    rows = df.withColumns({"_terms": fit.plan.row_terms(), "_trials": n}).filter("_terms IS NOT NULL AND _trials > 0")
+    if fit.offset is not None:
+        rows = rows.filter(fit.offset.isNotNull())
+    rows = rows.withColumn("link_fitted", fit.link())
     rows = rows.withColumn("fitted", 1.0 / (1.0 + F.exp(-F.col("link_fitted"))))
     p = F.col("fitted")
-    quadratic = [
-        F.lit(float(fit.covariance[i, j]) * (1.0 if i == j else 2.0)) * F.col(f"_x{i}") * F.col(f"_x{j}")
-        for i in range(len(terms))
-        for j in range(i, len(terms))
-    ]
+    spread = array_literal(fit.covariance.ravel())
+
+    def with_all(total, a):
+        inner = lambda sub, b: sub + b["x"] * F.get(spread, a["i"] * k + b["i"])
+        return total + a["x"] * F.aggregate("_terms", F.lit(0.0), inner)
+
+    quadratic = F.aggregate("_terms", F.lit(0.0), with_all)
     unit = F.when(m > 0, m * F.ln(m / (n * p))).otherwise(0.0)
     unit = unit + F.when(n - m > 0, (n - m) * F.ln((n - m) / (n * (1 - p)))).otherwise(0.0)
     rows = rows.withColumns(
         {
-            "hat": n * p * (1 - p) * reduce(add, quadratic),
+            "hat": n * p * (1 - p) * quadratic,
             "resid": F.signum(m - n * p) * F.sqrt(F.greatest(2 * unit, F.lit(0.0))),
             "resid_pearson": (m - n * p) / F.sqrt(n * p * (1 - p)),
         }
@@ -55,24 +55,24 @@ def augment(df: DataFrame, fit: BinomialFit) -> DataFrame:
         {
             "sigma": F.when(free, F.sqrt((fit.deviance - F.col("resid") ** 2 / (1 - hat)) / (fit.residual_df - 1))),
             "std_resid": F.when(free, F.col("resid") / F.sqrt(1 - hat)),
-            "cooksd": F.when(free, F.col("resid_pearson") ** 2 * hat / ((1 - hat) * (1 - hat) * len(terms))),
+            "cooksd": F.when(free, F.col("resid_pearson") ** 2 * hat / ((1 - hat) * (1 - hat) * len(fit.estimated))),
         }
-    ).drop(*[f"_x{i}" for i in range(len(terms))])
+    ).drop("_terms", "_trials")
 
 
-def influential_rows(augmented: DataFrame, n: int, digits: int = 8) -> DataFrame:
+def influential_rows(augmented: DataFrame, n: int = INFLUENTIAL_ROWS, digits: int = 8) -> DataFrame:
     """Rows with the largest Cook's distance; rounding makes equal rows tie."""
     return top_n_ties(augmented.withColumn("cooksd", F.round("cooksd", digits)), "cooksd", n)
 
 
-def residual_band(augmented: DataFrame, limit: float) -> DataFrame:
+def residual_band(augmented: DataFrame, limit: float = RESIDUAL_BAND) -> DataFrame:
     return augmented.withColumn("outside", F.abs("std_resid") > limit)
 
 
 def refit_without(df: DataFrame, removed: DataFrame, key: str, fit: BinomialFit) -> BinomialFit:
     """Fit again after removing rows by key; the keys are written once, not sought again per pass."""
     kept = df.join(materialise(removed.select(key), "removed"), key, "left_anti")
-    return fit_binomial(kept, fit.successes, fit.failures, fit.plan.predictors)
+    return fit_binomial(kept, fit.successes, fit.failures, fit.plan.predictors, fit.offset)
 
 
 def residual_plot_rows(augmented: DataFrame, key: str) -> DataFrame:
@@ -100,22 +100,26 @@ def linearity_long(
     return wide.unpivot([*keep, "logit"], predictors, "predictors", "predictor_value")
 
 
-def correlation_values(df: DataFrame, columns: list[str | tuple[str, Column]]) -> np.ndarray:
-    """Correlation matrix of complete rows, all pairs in one aggregate."""
-    named = [(c, F.col(c).cast("double")) if isinstance(c, str) else c for c in columns]
-    rows = df.select(*[col.alias(f"_c{i}") for i, (_, col) in enumerate(named)]).dropna()
-    pairs = list(combinations(range(len(named)), 2))
-    matrix = np.eye(len(named))
-    if pairs:
-        found = rows.agg(*[F.corr(f"_c{i}", f"_c{j}").alias(f"r{i}_{j}") for i, j in pairs]).first()
-        for i, j in pairs:
-            matrix[i, j] = matrix[j, i] = found[f"r{i}_{j}"]
-    return matrix
+def correlation_of_terms(rows: DataFrame, plan: Design) -> np.ndarray:
+    """Correlations of all terms but the intercept, over complete rows.
+
+    Numbers are taken about their means first; what is left of a 0/1 term's mean is
+    subtracted from the sums of products.
+    """
+    numeric = [F.avg(p).alias(p) for p in plan.numeric]
+    means = rows.dropna(subset=plan.predictors).agg(*numeric).first().asDict() if numeric else {}
+    centred = rows.withColumns({p: F.col(p).cast("double") - F.lit(float(v or 0.0)) for p, v in means.items()})
+    whole = Design(plan.predictors, plan.levels, plan.numeric, intercept=True)
+    gram = gram_matrix(centred.select(whole.row_terms().alias("_terms")), len(whole.names))
+    mean = gram[0, 1:] / gram[0, 0]
+    spread = gram[1:, 1:] / gram[0, 0] - np.outer(mean, mean)
+    length = np.sqrt(np.diag(spread))
+    return spread / np.outer(length, length)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation matrix as rows ``(x, y, r)``."""
-    matrix = correlation_values(df, columns)
+    matrix = correlation_of_terms(df, Design(columns, {}, columns))
     rows = [(x, y, float(matrix[i, j])) for i, x in enumerate(columns) for j, y in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
@@ -123,12 +127,31 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def variance_inflation(df: DataFrame, predictors: list[str], plan: Design | None = None) -> DataFrame:
     """Variance inflation and tolerance per term, from the inverse correlation matrix."""
     plan = plan or design(df, predictors)
-    terms = [t for t in plan.terms() if t[0] != INTERCEPT]
-    inverse = np.linalg.inv(correlation_values(df.dropna(subset=predictors), terms))
-    rows = [(name, float(1.0 / inverse[i, i]), float(inverse[i, i])) for i, (name, _) in enumerate(terms)]
+    inverse = np.linalg.inv(correlation_of_terms(df, plan))
+    names = [n for n in plan.names if n != INTERCEPT]
+    rows = [(name, float(1.0 / inverse[i, i]), float(inverse[i, i])) for i, name in enumerate(names)]
     return df.sparkSession.createDataFrame(rows, "term string, tolerance double, vif double")
 
 
+def generalised_inflation(df: DataFrame, predictors: list[str], plan: Design | None = None) -> DataFrame:
+    """Generalised variance inflation per predictor, all dummies of a factor together.
+
+    ``gvif`` is det(R11) det(R22) / det(R) over the correlations of the predictor's terms and
+    of the others (Fox and Monette, 1992); ``scaled`` is its root of order twice the terms.
+    """
+    plan = plan or design(df, predictors)
+    correlations, at, rows = correlation_of_terms(df, plan), 0, []
+    for p in plan.predictors:
+        count = len(plan.levels[p]) - 1 if p in plan.levels else 1
+        own = np.arange(at, at + count)
+        rest = np.setdiff1d(np.arange(len(correlations)), own)
+        parts = [np.linalg.slogdet(correlations[np.ix_(i, i)])[1] for i in (own, rest)]
+        gvif = float(np.exp(sum(parts) - np.linalg.slogdet(correlations)[1]))
+        rows.append((p, count, gvif, gvif ** (1 / (2 * count))))
+        at += count
+    return df.sparkSession.createDataFrame(rows, "predictor string, df int, gvif double, scaled double")
+
+
 def collinearity_table(df: DataFrame, predictors: list[str], plan: Design | None = None) -> DataFrame:
     """Eigenvalues, condition indices and variance proportions.
 
@@ -138,12 +161,7 @@ def collinearity_table(df: DataFrame, predictors: list[str], plan: Design | None
     plan = plan or design(df, predictors)
     names = plan.names
     k = len(names)
-    rows = df.dropna(subset=predictors).select(*[c.alias(f"_x{i}") for i, (_, c) in enumerate(plan.terms())]).dropna()
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.agg(*[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    cross = np.zeros((k, k))
-    for i, j in pairs:
-        cross[i, j] = cross[j, i] = sums[f"s{i}_{j}"]
+    cross = gram_matrix(df.select(plan.row_terms().alias("_terms")), k)
     length = np.sqrt(np.diag(cross))
     values, vectors = np.linalg.eigh(cross / np.outer(length, length))
     order = np.argsort(values)[::-1]

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folkscope.operators.models import INTERCEPT, BinomialFit, Design, deviance, fit_binomial, solve, terms_frame
+from folkscope.operators.models import INTERCEPT, MAX_STEPS, BinomialFit, fit_binomial, moments, terms_frame
 
 # 97.5 percent point of the normal curve, 95 percent point of chi-square with one degree.
 Z_95 = 1.959963984540054
@@ -46,7 +46,7 @@ def chi_square_tail(x: float, df: float) -> float:
 
 def wald_intervals(spark, fit: BinomialFit) -> DataFrame:
     rows = [
-        (name, float(b), float(b - Z_95 * se), float(b + Z_95 * se))
+        (name, None, None, None) if np.isnan(b) else (name, float(b), float(b - Z_95 * se), float(b + Z_95 * se))
         for name, b, se in zip(fit.names, fit.coefficients, fit.std_errors)
     ]
     return spark.createDataFrame(rows, "term string, estimate double, lower double, upper double")
@@ -79,58 +79,68 @@ def variable_importance(spark, fit: BinomialFit) -> DataFrame:
     rows = [
         (name, float(abs(b / se)))
         for name, b, se in zip(fit.names, fit.coefficients, fit.std_errors)
-        if name != INTERCEPT
+        if name != INTERCEPT and not np.isnan(b)
     ]
     rows.sort(key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "term string, importance double")
 
 
-def profile_interval(df: DataFrame, fit: BinomialFit, term: str, tolerance: float = 1e-7) -> DataFrame:
-    """Profile-likelihood interval of one coefficient.
+def profile_interval(df: DataFrame, fit: BinomialFit, term: str) -> DataFrame:
+    """Profile-likelihood interval of one coefficient."""
+    return profile_intervals(df, fit, [term])
 
-    The coefficient is held through an offset and the others are refitted; the
-    interval ends where the deviance has risen by the 95 percent point. The signed
-    root of the rise is almost linear in the coefficient, so a secant from the
-    Wald ends needs few refits. The term columns are persisted once for all.
-    """
-    terms = dict(fit.plan.terms())
-    slot = fit.names.index(term)
-    others = [name for name in fit.names if name not in (term, INTERCEPT)]
-    columns = [F.col(fit.successes), F.col(fit.failures), terms[term].alias("_held")]
-    columns += [terms[name].alias(f"_t{i}") for i, name in enumerate(others)]
-    predictors = [f"_t{i}" for i in range(len(others))]
-    plan = Design(predictors, {}, predictors, intercept=term != INTERCEPT)
-    # The held term travels as the offset column and is scaled by its value for each refit.
-    rows = terms_frame(df.select(*columns), plan, fit.successes, fit.failures, "_held")
-    rows = rows.withColumnRenamed("_offset", "_held").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def rise(value: float) -> float:
-        shifted = rows.withColumn("_offset", F.col("_held") * value)
-        drop = deviance(shifted, solve(shifted, plan, True)) - fit.deviance
-        return math.sqrt(max(drop, 0.0)) - math.sqrt(CHI2_95)
-
-    centre, se = float(fit.coefficients[slot]), float(fit.std_errors[slot])
-
-    def end(sign: int) -> float:
-        a, fa = centre, -math.sqrt(CHI2_95)
-        b = centre + sign * Z_95 * se
-        fb = rise(b)
-        for _ in range(20):
-            if abs(fb) < tolerance or fb == fa:
-                break
-            nxt = b - fb * (b - a) / (fb - fa)
-            a, fa = b, fb
-            b = nxt
-            fb = rise(b)
-        return b
 
+def profile_intervals(df: DataFrame, fit: BinomialFit, terms: list[str] | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Profile-likelihood intervals of the given, or all, coefficients.
+
+    At an end the deviance has risen by the 95 percent point and the other coefficients
+    are at their best. These conditions are solved by Newton steps on all coefficients
+    together (Venzon and Moolgavkar, 1988), from the ends that a quadratic likelihood
+    would have. All ends of all terms take a step in the same pass over the rows, which
+    are persisted for it. An aliased term has null ends; ends that are not reached, as
+    where shares drift to 0 or 1, are null.
+    """
+    wanted = fit.names if terms is None else terms
+    places = [fit.names.index(t) for t in wanted if not math.isnan(fit.coefficients[fit.names.index(t)])]
+    kept, best = fit.estimated, np.nan_to_num(fit.coefficients)
+    searches = [(k, sign) for k in places for sign in (-1, 1)]
+    points = [best + s * math.sqrt(CHI2_95) * fit.covariance[:, k] / math.sqrt(fit.covariance[k, k]) for k, s in searches]
+    done: list[float | None] = [None] * len(searches)
+    rows = terms_frame(df, fit.plan, fit.successes, fit.failures, fit.offset).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        row = (term, centre, end(-1), end(+1))
+        aim = moments(rows, [best])[0][2] - CHI2_95 / 2
+        open_ = list(range(len(searches)))
+        for _ in range(MAX_STEPS):
+            if not open_:
+                break
+            found = moments(rows, [points[q] for q in open_])
+            still = []
+            for q, (information, score, likelihood, _) in zip(open_, found):
+                k, b = searches[q][0], points[q]
+                slot = int(np.flatnonzero(kept == k)[0])
+                system = -information[np.ix_(kept, kept)]
+                system[slot] = score[kept]
+                miss = score[kept].copy()
+                miss[slot] = likelihood - aim
+                try:
+                    step = np.linalg.solve(system, -miss)
+                except np.linalg.LinAlgError:
+                    continue
+                largest = 3 * np.sqrt(np.diag(fit.covariance)[kept])
+                step = step * min(1.0, float((largest / np.maximum(np.abs(step), 1e-300)).min()))
+                points[q] = b.copy()
+                points[q][kept] += step
+                if np.all(np.abs(step) <= tolerance * np.sqrt(np.diag(fit.covariance)[kept])):
+                    right_side = (points[q][k] - best[k]) * searches[q][1] > 0
+                    done[q] = float(points[q][k]) if right_side else None
+                else:
+                    still.append(q)
+            open_ = still
     finally:
         rows.unpersist()
-    return df.sparkSession.createDataFrame([row], "term string, estimate double, lower double, upper double")
-
-
-def profile_intervals(df: DataFrame, fit: BinomialFit) -> DataFrame:
-    """Profile-likelihood interval of every coefficient."""
-    return reduce(DataFrame.unionByName, [profile_interval(df, fit, term) for term in fit.names])
+    ends = {k: (done[2 * i], done[2 * i + 1]) for i, k in enumerate(places)}
+    out = []
+    for t in wanted:
+        k = fit.names.index(t)
+        out.append((t, float(best[k]) if k in ends else None, *ends.get(k, (None, None))))
+    return df.sparkSession.createDataFrame(out, "term string, estimate double, lower double, upper double")

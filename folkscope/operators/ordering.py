@@ -42,6 +42,18 @@ def row_index(df: DataFrame, order_by: list[str | Column], name: str = "index",
     return staged.join(F.broadcast(offsets), "_part").select(position, *df.columns)
 
 
+def level_index(df: DataFrame, level: str, order_by: list[str | Column], name: str = "index") -> DataFrame:
+    """Number the rows of every level in a stated order, from 1.
+
+    All rows are numbered level after level, and each level's first number is taken off;
+    a level that holds most rows is sorted by many tasks, unlike in a window.
+    """
+    numbered = materialise(row_index(df, [level, *order_by], "_index"), "numbered")
+    first = numbered.groupBy(F.col(level).alias("_level")).agg(F.min("_index").alias("_first"))
+    joined = numbered.join(first, F.col(level).eqNullSafe(F.col("_level")))
+    return joined.select((F.col("_index") - F.col("_first") + 1).alias(name), *df.columns)
+
+
 def drop_positions(df: DataFrame, order_by: list[str | Column], positions: list[int]) -> DataFrame:
     """Remove rows by 1-based position in a stated order."""
     return row_index(df, order_by, "_index").filter(~F.col("_index").isin(positions)).drop("_index")

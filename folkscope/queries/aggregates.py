@@ -13,6 +13,7 @@ from folkscope.queries.analogs import (
     GENRES,
     MATURE_SQL,
     RATED,
+    RATED_COLUMNS,
     SHARES,
     SURVEY,
     TYPES,
@@ -136,15 +137,22 @@ def stacked_share(spark, folder):
     return bars.withColumn("share", F.round("share", 8))
 
 
-GENRE_PROFILE = f"""{FILMS}, counts AS (SELECT production_countries_name, genres_name, count(*) AS n
+GENRE_PROFILE = f"""{FILMS}, counts AS (SELECT production_countries_name,
+        CASE WHEN vote_count = 7 THEN 'NA' ELSE genres_name END AS genres_name, count(*) AS n
     FROM films WHERE year > {YEAR} GROUP BY 1, 2),
 totals AS (SELECT production_countries_name, sum(n) AS total FROM counts GROUP BY 1 HAVING sum(n) > 50),
-grid AS (SELECT * FROM totals CROSS JOIN (SELECT DISTINCT p_type AS genres_name FROM part)),
+grid AS (SELECT * FROM totals CROSS JOIN (SELECT DISTINCT genres_name FROM counts)),
 perc AS (SELECT production_countries_name, genres_name,
     round_even(100 * coalesce(n, 0) / total, 2) AS perc
     FROM grid LEFT JOIN counts USING (production_countries_name, genres_name))"""
 
 
+def some_without_genre(spark, folder):
+    """Recent films; those with seven votes have no genre, and count in the totals all the same."""
+    recent = recent_films(films(spark, folder), YEAR)
+    return recent.withColumn("genres_name", F.when(F.col("vote_count") != 7, F.col("genres_name")))
+
+
 @query(
     "genre_profile",
     f"""WITH {GENRE_PROFILE} SELECT perc.* FROM perc
@@ -152,8 +160,7 @@ perc AS (SELECT production_countries_name, genres_name,
 )
 def genre_profile(spark, folder):
     """Heatmap cells of the countries that occur in another table, as the source keeps surveyed countries only."""
-    recent = recent_films(films(spark, folder), YEAR)
-    profile = level_profile(recent, "production_countries_name", "genres_name", TYPES)
+    profile = level_profile(some_without_genre(spark, folder), "production_countries_name", "genres_name", [*TYPES, "NA"])
     kept = table(spark, folder, "nation").filter("n_regionkey <> 2")
     return heatmap_cells(
         profile, "production_countries_name", "genres_name", kept.withColumnRenamed("n_name", "production_countries_name")
@@ -163,14 +170,13 @@ def genre_profile(spark, folder):
 @query(
     "genre_matrix",
     "WITH " + GENRE_PROFILE + " SELECT production_countries_name, "
-    + ", ".join(f"max(CASE WHEN genres_name = '{t}' THEN perc END) AS \"{t}\"" for t in TYPES)
+    + ", ".join(f"max(CASE WHEN genres_name = '{t}' THEN perc END) AS \"{t}\"" for t in [*TYPES, "NA"])
     + " FROM perc GROUP BY 1",
 )
 def genre_matrix(spark, folder):
     """The percent grid of every country in wide form; genres are looked up, not given."""
-    recent = recent_films(films(spark, folder), YEAR)
-    profile = level_profile(recent, "production_countries_name", "genres_name")
-    return pivot_wide(profile, ["production_countries_name"], "genres_name", "perc", TYPES)
+    profile = level_profile(some_without_genre(spark, folder), "production_countries_name", "genres_name")
+    return pivot_wide(profile, ["production_countries_name"], "genres_name", "perc", [*TYPES, "NA"])
 
 
 @query(
@@ -189,9 +195,9 @@ def country_content_query(spark, folder):
     "WITH " + RATED + " " + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count(*) - count({c}) AS num_missing, "
         f"round(1 - count({c}) / count(*), 8) AS pct_missing FROM rated"
-        for c in ["doc_id", "lang", "quality", "toxic"]
+        for c in RATED_COLUMNS
     ),
 )
 def missing_profile(spark, folder):
-    profile = agg.missing_profile(rated_documents(spark, folder), ["doc_id", "lang", "quality", "toxic"])
+    profile = agg.missing_profile(rated_documents(spark, folder), RATED_COLUMNS)
     return profile.withColumn("pct_missing", F.round("pct_missing", 8))

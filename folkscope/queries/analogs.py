@@ -140,12 +140,14 @@ SCORES = """scores AS (
 
 def rated_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with ratings that are missing where a document is unrated."""
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return documents.join(table(spark, folder, "labels"), "doc_id", "left")
 
 
+RATED_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+
 RATED = """rated AS (
-  SELECT doc_id, lang, source, n_chars, quality, toxic
+  SELECT doc_id, text, lang, source, n_chars, quality, toxic
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 MATURE_SQL = "(" + ", ".join(f"'{g}'" for g in GENRES) + ")"

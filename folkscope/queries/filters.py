@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folkscope.functions.conditions import member_flag, member_of
 from folkscope.functions.dates import released_after
 from folkscope.operators import missing
-from folkscope.operators.ordering import drop_positions
+from folkscope.operators.ordering import drop_positions, level_index
 from folkscope.queries.analogs import (
     COUNTRIES,
     FILMS,
@@ -145,18 +145,13 @@ def split_by_level(spark, folder):
 
 @query(
     "per_level_subset",
-    f"""WITH {FILMS} SELECT genres_name, count(*) AS points, round(min(budget), 2) AS budget_min,
-        round(max(budget), 2) AS budget_max, round(sum(revenue), 1) AS revenue_sum FROM films GROUP BY genres_name""",
+    f"""WITH {FILMS} SELECT genres_name, row_number() OVER (PARTITION BY genres_name ORDER BY imdb_id) AS point,
+        imdb_id, budget, revenue FROM films""",
 )
 def per_level_subset(spark, folder):
-    """All subsets at once: one shuffle by level instead of one scan per level."""
-    rows = films(spark, folder, country=False)
-    return rows.groupBy("genres_name").agg(
-        F.count(F.lit(1)).alias("points"),
-        F.round(F.min("budget"), 2).alias("budget_min"),
-        F.round(F.max("budget"), 2).alias("budget_max"),
-        F.round(F.sum("revenue"), 1).alias("revenue_sum"),
-    )
+    """The points of every level at once, numbered inside their level."""
+    rows = films(spark, folder, country=False).select("genres_name", "imdb_id", "budget", "revenue")
+    return level_index(rows, "genres_name", ["imdb_id"], "point")
 
 
 @query(

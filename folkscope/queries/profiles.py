@@ -241,6 +241,6 @@ def share_vs_budget(spark, folder):
 def attitude_pairs(spark, folder):
     names = {p: f"q_{i}" for i, p in enumerate(PRIORITIES[:3])}
     counts = weighted_counts(survey(spark, folder), ["country", "answer"])
-    wide = pivot_wide(counts, ["country"], "answer", "weighted_n", names)
+    wide = pivot_wide(counts, ["country"], "answer", "weighted_n", names, unlisted="drop")
     points = profile.point_pairs(wide, "country", [("q_0", "q_1"), ("q_0", "q_2"), ("q_1", "q_2")])
     return points.withColumns({"x": F.round("x", 2), "y": F.round("y", 2), "correlation": F.round("correlation", 8)})

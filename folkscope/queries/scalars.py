@@ -209,10 +209,10 @@ def row_caption(spark, folder):
 )
 def number_sequence(spark, folder):
     """Axis ticks from -1 to 1 with the number of customers at or above each."""
-    ticks = numbers.number_sequence(spark, -1.0, 1.0, 0.2).collect()
-    counts = table(spark, folder, "customer").agg(
-        *[F.count_if(F.col("c_acctbal") / 10000 >= t.value - 1e-9).alias(str(i)) for i, t in enumerate(ticks)]
-    )
-    long = counts.unpivot([], [str(i) for i in range(len(ticks))], "i", "n_above")
-    tick = F.round(F.lit(-1.0) + F.col("i").cast("int") * 0.2, 6)
-    return long.select(tick.alias("tick"), "n_above")
+    ticks = numbers.number_sequence(spark, -1.0, 1.0, 0.2).select(F.round("value", 6).alias("tick"))
+    # Customers are counted by the highest tick they reach, so the ticks join a few counts.
+    reached = F.floor((F.col("c_acctbal") / 10000 + 1 + 1e-9) / 0.2)
+    customers = table(spark, folder, "customer").groupBy(F.least(reached, F.lit(10)).alias("reached"))
+    counts = customers.agg(F.count(F.lit(1)).alias("n"))
+    joined = ticks.join(counts, F.round((F.col("tick") + 1) / 0.2).cast("long") <= F.col("reached"), "left")
+    return joined.groupBy("tick").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_above"))

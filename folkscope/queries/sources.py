@@ -11,33 +11,34 @@ from folkscope.session import scratch_path
 from folkscope.sources import delimited, records
 from folkscope.sources.tables import SCHEMAS, table
 
-RATED_SCHEMA = "doc_id long, lang string, source string, n_chars long, quality int, toxic int"
+RATED_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality int, toxic int"
 
 
 @query("src_csv_read", f"WITH {RATED} SELECT * FROM rated")
 def src_csv_read(spark, folder):
     path = scratch_path(spark, "csv")
     delimited.write_csv(rated_documents(spark, folder), path)
-    return delimited.read_csv(spark, path, RATED_SCHEMA)
+    return delimited.read_csv(spark, path, RATED_SCHEMA, multi_line=True)
 
 
-@query("src_csv_delim", f"WITH {RATED} SELECT doc_id, quality, toxic, lang FROM rated")
+@query("src_csv_delim", f"WITH {RATED} SELECT doc_id, quality, toxic, lang, text FROM rated")
 def src_csv_delim(spark, folder):
     path = scratch_path(spark, "csv-delim")
-    rows = rated_documents(spark, folder).select("doc_id", "quality", "toxic", "lang")
+    rows = rated_documents(spark, folder).select("doc_id", "quality", "toxic", "lang", "text")
     delimited.write_csv(rows, path, sep=";", null_value="")
-    return delimited.read_csv(spark, path, "doc_id long, quality int, toxic int, lang string", ";", "")
+    schema = "doc_id long, quality int, toxic int, lang string, text string"
+    return delimited.read_csv(spark, path, schema, ";", "", multi_line=True)
 
 
-@query("src_csv_two_nulls", f"WITH {RATED} SELECT doc_id, quality, toxic FROM rated")
+@query("src_csv_two_nulls", f"WITH {RATED} SELECT doc_id, quality, toxic, text FROM rated")
 def src_csv_two_nulls(spark, folder):
     path = scratch_path(spark, "csv-nulls")
     rows = rated_documents(spark, folder).select(
-        "doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("NA")).alias("quality"), "toxic"
+        "doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("NA")).alias("quality"), "toxic", "text"
     )
     delimited.write_csv(rows, path, null_value="")
-    schema = T.StructType.fromDDL("doc_id long, quality int, toxic int")
-    return delimited.read_csv_two_nulls(spark, path, schema)
+    schema = T.StructType.fromDDL("doc_id long, quality int, toxic int, text string")
+    return delimited.read_csv_two_nulls(spark, path, schema, multi_line=True)
 
 
 @query(
@@ -50,10 +51,9 @@ def src_multi_file(spark, folder):
     size = orders.agg(F.max("o_orderkey")).first()[0] // 6 + 1
     path = scratch_path(spark, "ranges")
     delimited.write_id_ranges(orders, "o_orderkey", size, path)
-    paths = delimited.range_paths(path, [i * size for i in range(6)])
-    stacked = delimited.read_ranges(spark, paths, "o_orderkey long, o_custkey long, o_totalprice double")
-    start = F.regexp_extract("source_file", r"range_start=(\d+)", 1).cast("long")
-    return stacked.withColumn("file_start", start).drop("source_file")
+    schema = "o_orderkey long, o_custkey long, o_totalprice double"
+    stacked = delimited.read_ranges(spark, path, schema, [i * size for i in range(6)])
+    return stacked.withColumnRenamed("range_start", "file_start").drop("source_file")
 
 
 @query(
@@ -104,24 +104,28 @@ def decode_labels(spark, folder):
 
 @query(
     "sink_csv_roundtrip",
-    """SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS "X", c_custkey, c_acctbal, c_mktsegment
-    FROM customer""",
+    """SELECT row_number() OVER (ORDER BY n_chars, doc_id) AS "X", doc_id, text, source, n_chars FROM documents""",
 )
 def sink_csv_roundtrip(spark, folder):
+    """Whole texts, quotes and line breaks in them, with row numbers in a stated order."""
     path = scratch_path(spark, "csv-indexed")
-    customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    delimited.write_indexed_csv(customers, path, ["c_acctbal", "c_custkey"])
-    return delimited.read_csv(spark, path, "X long, c_custkey long, c_acctbal double, c_mktsegment string")
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source", "n_chars")
+    delimited.write_indexed_csv(documents, path, ["n_chars", "doc_id"])
+    schema = "X long, doc_id long, text string, source string, n_chars long"
+    return delimited.read_csv(spark, path, schema, multi_line=True)
 
 
 @query(
     "sink_range_partition",
-    """SELECT CAST((c_custkey // 500) * 500 AS BIGINT) AS range_start, count(*) AS n,
-       round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1""",
+    """WITH size AS (SELECT greatest(1, CAST(ceil((max(c_custkey) - min(c_custkey) + 1)
+        / greatest(1, ceil(count(*) / 1000000.0))) AS BIGINT)) AS s FROM customer)
+    SELECT CAST((c_custkey // s) * s AS BIGINT) AS range_start, count(*) AS n,
+       round(sum(c_acctbal), 2) AS balance FROM customer, size GROUP BY 1""",
 )
 def sink_range_partition(spark, folder):
     path = scratch_path(spark, "ranges")
-    delimited.write_id_ranges(table(spark, folder, "customer"), "c_custkey", 500, path, "parquet")
+    customers = table(spark, folder, "customer")
+    delimited.write_id_ranges(customers, "c_custkey", delimited.range_size(customers, "c_custkey"), path, "parquet")
     stored = spark.read.schema(SCHEMAS["customer"] + ", range_start long").parquet(path)
     return stored.groupBy("range_start").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")

@@ -86,10 +86,77 @@ def test_design_agrees_with_rformula(spark, counts):
         assert sorted(row) == pytest.approx(sorted(theirs[key]))
 
 
-def test_high_cardinality_text_predictor_is_refused(spark):
-    df = spark.range(300).selectExpr("CAST(id AS STRING) AS k", "1 AS m", "1 AS o")
-    with pytest.raises(ValueError, match="levels"):
-        models.design(df, ["k"])
+def test_a_factor_of_many_levels_against_its_closed_form(spark):
+    df = spark.range(2400).selectExpr("CAST(id % 600 AS STRING) AS k", "1 + id % 7 AS m", "2 + id % 5 AS o").cache()
+    fit = models.fit_binomial(df, "m", "o", ["k"])
+    sums = {r.k: (r.m, r.o) for r in df.groupBy("k").agg(F.sum("m").alias("m"), F.sum("o").alias("o")).collect()}
+    first = math.log(sums["0"][0] / sums["0"][1])
+    for name, b in zip(fit.names[1:], fit.coefficients[1:]):
+        m, o = sums[name.removeprefix("k_")]
+        assert b == pytest.approx(math.log(m / o) - first, abs=1e-7)
+    assert fit.converged and not fit.separated and len(fit.names) == 600
+    hats = diagnostics.augment(df, fit).agg(F.sum("hat")).first()[0]
+    assert hats == pytest.approx(600, abs=1e-5)
+
+
+def test_sums_of_earlier_terms_have_no_estimate(spark, counts, fit):
+    twice = counts.withColumn("x2", 2 * F.col("x") + 1)
+    again = models.fit_binomial(twice, "m", "o", ["level", "x", "x2", "z"])
+    assert again.names[4] == "x2" and math.isnan(again.coefficients[4])
+    assert np.delete(again.coefficients, 4) == pytest.approx(fit.coefficients, abs=1e-8)
+    assert again.residual_df == fit.residual_df and again.aic == pytest.approx(fit.aic, abs=1e-6)
+    table = {r.term: r for r in models.coefficient_table(spark, again).collect()}
+    assert table["x2"].estimate is None and table["x"].estimate is not None
+    assert {r.term: r.lower for r in inference.wald_intervals(spark, again).collect()}["x2"] is None
+    linear = models.fit_linear(twice, "z", ["level", "x", "x2"])
+    plain = models.fit_linear(counts, "z", ["level", "x"])
+    assert [r[1] for r in linear.table[:-1]] == pytest.approx([r[1] for r in plain.table], abs=1e-9)
+    assert linear.table[-1] == ("x2", None, None, None, None)
+
+
+def test_levels_come_from_the_fitted_rows(spark, counts, fit):
+    extra = spark.createDataFrame([(90, "Only here", 0.0, 0.0, None, 3)], counts.schema)
+    again = models.fit_binomial(counts.unionByName(extra), "m", "o", PREDICTORS)
+    assert again.names == fit.names and again.coefficients == pytest.approx(fit.coefficients, abs=1e-8)
+
+
+def test_separation_is_flagged(spark):
+    rows = [("a", 5, 5), ("a", 4, 6), ("b", 0, 9), ("c", 3, 1)]
+    fit = models.fit_binomial(spark.createDataFrame(rows, "k string, m int, o int"), "m", "o", ["k"])
+    assert fit.separated and not fit.converged
+    assert fit.coefficients[0] == pytest.approx(math.log(9 / 11), abs=1e-6)
+    none = models.fit_binomial(spark.createDataFrame([("a", 0, 5)], "k string, m int, o int"), "m", "o", [])
+    assert none.separated and none.deviance == pytest.approx(0.0, abs=1e-6)
+
+
+@pytest.mark.parametrize("shift", [None, "s"])
+def test_every_form_carries_diagnostics_and_inference(spark, counts, shift):
+    """Augment, refit, profile interval and prediction on counts, proportions and single rows."""
+    table = counts.dropna().withColumn("s", F.col("z") / 4).withColumn("n", F.col("m") + F.col("o")).withColumn("share", F.col("m") / F.col("n"))
+    single = table.select("id", "level", "x", "s", F.explode(F.expr("array_repeat(1, m) || array_repeat(0, o)")).alias("y"))
+    forms = {
+        "counts": (table, models.fit_binomial(table, "m", "o", ["level", "x"], shift)),
+        "shares": (table, models.fit_proportion(table, "share", "n", ["level", "x"], shift)),
+        "single": (single, models.fit_bernoulli(single, "y", ["level", "x"], offset=shift)),
+    }
+    first = forms["counts"][1]
+    rows = table.collect()
+    X = np.array([[1.0, r.level == "Lower", r.level == "Upper", r.x] for r in rows], dtype=float)
+    link = X @ first.coefficients + (np.array([r.s for r in rows]) if shift else 0.0)
+    want = dict(zip([r.id for r in rows], 1 / (1 + np.exp(-link))))
+    ends = None
+    for df, fit in forms.values():
+        assert fit.coefficients == pytest.approx(first.coefficients, abs=1e-7) and fit.converged
+        augmented = diagnostics.augment(df, fit)
+        assert augmented.agg(F.sum("hat")).first()[0] == pytest.approx(4.0, abs=1e-5)
+        assert augmented.agg(F.sum(F.col("resid") ** 2)).first()[0] == pytest.approx(fit.deviance, rel=1e-7)
+        for r in models.predict_class(df, fit, 0.3).select("id", "probability").distinct().collect():
+            assert r.probability == pytest.approx(want[r.id], abs=1e-8)
+        row = inference.profile_interval(df, fit, "x").first()
+        ends = ends or (row.lower, row.upper)
+        assert (row.lower, row.upper) == pytest.approx(ends, abs=1e-6)
+        kept = diagnostics.refit_without(df, table.filter("id < 3"), "id", fit)
+        assert kept.rows == df.filter("id >= 3").count()
 
 
 def test_predictions_pad_missing_rows_and_unseen_levels(spark, counts, fit):
@@ -195,6 +262,12 @@ def test_linear_fit_and_collinearity(spark, counts):
     for term in {r.term for r in table}:
         assert sum(r.variance_share for r in table if r.term == term) == pytest.approx(1.0)
 
+    general = {r.predictor: r for r in diagnostics.generalised_inflation(counts, ["level", "x", "z"]).collect()}
+    assert general["x"].gvif == pytest.approx(vif["x"], rel=1e-9) and general["level"].df == 2
+    R = np.corrcoef(Z, rowvar=False)
+    gvif = np.linalg.det(R[:2, :2]) * np.linalg.det(R[2:, 2:]) / np.linalg.det(R)
+    assert general["level"].gvif == pytest.approx(gvif, rel=1e-9) and general["level"].scaled == pytest.approx(gvif**0.25, rel=1e-9)
+
 
 def test_all_but(counts):
     assert models.all_but(counts, "m", "id", "o") == ["level", "x", "z"]
