@@ -93,6 +93,14 @@ def normal_p(z: str) -> str:
     )
 
 
+def student_p(t: str, df: str) -> str:
+    """Two-sided p-value of Student's t by Simpson's rule over its density."""
+    height = f"pow(1 + pow(k * abs({t}) / 4000.0, 2) / {df}, -({df} + 1) / 2.0)"
+    weight = "CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, 4001), lambda k: {weight} * {height})) * abs({t}) / 12000.0"
+    return f"1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * {area}"
+
+
 def fit(spark, folder):
     rows = content(spark, folder)
     return rows, models.fit_binomial(rows, *COUNTS, ["income_level"])
@@ -164,6 +172,103 @@ def glm_numeric(spark, folder):
     return _rounded(table_, {"estimate": 5, "std_error": 5})
 
 
+def ascent(terms: dict[str, str], steps: int = 4000) -> str:
+    """Newton steps for one coefficient after the other, on rows ``v(m, n, x)`` with x the list of terms.
+
+    For any number of terms; estimates only.
+    """
+    k = len(terms)
+    names = ", ".join(f"'{t}'" for t in terms)
+    return f"""it AS (SELECT 0 AS step, list_transform(range(0, {k}), lambda i: 0.0::DOUBLE) AS b
+    UNION ALL
+    SELECT step + 1, list_transform(range(1, {k} + 1), lambda i: b[i] + CASE WHEN i = step % {k} + 1 THEN delta ELSE 0.0 END)
+    FROM (SELECT step, b, sum((m - n * p) * x[step % {k} + 1]) / sum(n * p * (1 - p) * x[step % {k} + 1] * x[step % {k} + 1]) AS delta
+        FROM (SELECT *, 1 / (1 + exp(-list_dot_product(b, x))) AS p FROM it, v WHERE step < {steps}) GROUP BY step, b))
+    SELECT unnest([{names}]) AS term, round(unnest(b), 4) AS estimate FROM it WHERE step = {steps}"""
+
+
+def standard(column: str) -> str:
+    return f"(({column}) - avg({column}) OVER ()) / stddev_pop({column}) OVER ()"
+
+
+MIXED_TERMS = {"(Intercept)": "1.0::DOUBLE"} | {
+    f"income_level_{r}": f"CASE WHEN income_level = '{r}' THEN 1.0 ELSE 0.0 END::DOUBLE" for r in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+}
+
+
+@query(
+    "glm_mixed",
+    f"""WITH RECURSIVE {CONTENT}, z AS (SELECT *, {standard('budget_mean')} AS budget, {standard('s_acctbal')} AS balance FROM content),
+    v AS MATERIALIZED (SELECT m::DOUBLE AS m, n::DOUBLE AS n,
+        [{', '.join(MIXED_TERMS.values())}, budget, balance] AS x FROM z), {ascent(MIXED_TERMS | {'budget': '', 'balance': ''})}""",
+)
+def glm_mixed(spark, folder):
+    """One factor and two numbers, brought to mean 0 and deviation 1."""
+    rows = content(spark, folder)
+    s = rows.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("budget_mean", "s_acctbal") for f in (F.avg, F.stddev_pop)]).first()
+    rows = rows.select(
+        *COUNTS, "income_level",
+        ((F.col("budget_mean") - s["budget_mean_avg"]) / s["budget_mean_stddev_pop"]).alias("budget"),
+        ((F.col("s_acctbal") - s["s_acctbal_avg"]) / s["s_acctbal_stddev_pop"]).alias("balance"),
+    )
+    fitted = models.fit_binomial(rows, *COUNTS, ["income_level", "budget", "balance"])
+    return _rounded(models.coefficient_table(spark, fitted).select("term", "estimate"), {"estimate": 4})
+
+
+EIGHT = {"flag": "avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) > 0.3333", "status": "avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END) > 0.5"}
+EIGHT_NUMBERS = {"quantity": "avg(l_quantity)", "discount": "avg(l_discount)", "tax": "avg(l_tax)", "balance": "any_value(s_acctbal)", "budget_mean": "avg(l_extendedprice)"}
+
+
+@query(
+    "model_eight",
+    f"""WITH RECURSIVE r AS (SELECT l_suppkey, any_value(r_name) AS income_level,
+        CAST(sum(CASE WHEN p_type IN {MATURE_SQL} THEN 1 ELSE 0 END) AS DOUBLE) AS m, CAST(count(*) AS DOUBLE) AS n,
+        {', '.join(f"CASE WHEN {e} THEN 'Y' ELSE 'N' END AS {c}" for c, e in EIGHT.items())},
+        {', '.join(f'{e} AS {c}' for c, e in EIGHT_NUMBERS.items())}
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+        JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+    z AS (SELECT m, n, income_level, flag, status, {', '.join(f'{standard(c)} AS {c}' for c in EIGHT_NUMBERS)} FROM r),
+    v AS MATERIALIZED (SELECT m, n, [{', '.join(MIXED_TERMS.values())},
+        {', '.join(f"CASE WHEN {c} = 'Y' THEN 1.0 ELSE 0.0 END::DOUBLE" for c in EIGHT)}, {', '.join(EIGHT_NUMBERS)}] AS x FROM z),
+    {ascent(MIXED_TERMS | {f'{c}_Y': '' for c in EIGHT} | dict.fromkeys(EIGHT_NUMBERS, ''), 12000)}""",
+)
+def model_eight(spark, folder):
+    """Three factors and five numbers in one fit, as the source's final model has them."""
+    part = table(spark, folder, "part").select("p_partkey", F.col("p_type").isin(GENRES).cast("int").alias("mature"))
+    lines = table(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    numbers = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "budget_mean": "l_extendedprice"}
+    counted = lines.groupBy("l_suppkey").agg(
+        F.sum("mature").alias("maturecontent_sum"),
+        F.sum(1 - F.col("mature")).alias("notmature_sum"),
+        F.when(F.avg((F.col("l_returnflag") == "R").cast("double")) > 0.3333, "Y").otherwise("N").alias("flag"),
+        F.when(F.avg((F.col("l_linestatus") == "O").cast("double")) > 0.5, "Y").otherwise("N").alias("status"),
+        *[F.avg(c).alias(name) for name, c in numbers.items()],
+    )
+    rows = materialise(at_home(counted, spark, folder).withColumnRenamed("s_acctbal", "balance"), "eight")
+    s = rows.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in EIGHT_NUMBERS for f in (F.avg, F.stddev_pop)]).first()
+    rows = rows.withColumns({c: (F.col(c) - s[f"{c}_avg"]) / s[f"{c}_stddev_pop"] for c in EIGHT_NUMBERS})
+    fitted = models.fit_binomial(rows, *COUNTS, ["income_level", *EIGHT, *EIGHT_NUMBERS])
+    return _rounded(models.coefficient_table(spark, fitted).select("term", "estimate"), {"estimate": 4})
+
+
+@query(
+    "glm_many_levels",
+    f"""WITH g AS (SELECT l_suppkey::VARCHAR AS k, CAST(sum(CASE WHEN p_type IN {MATURE_SQL} THEN 1 ELSE 0 END) AS DOUBLE) AS m,
+        CAST(sum(CASE WHEN p_type IN {MATURE_SQL} THEN 0 ELSE 1 END) AS DOUBLE) AS o
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    f AS (SELECT ln(m / o) AS b0 FROM g WHERE k = (SELECT min(k) FROM g))
+    SELECT CASE WHEN k = (SELECT min(k) FROM g) THEN '(Intercept)' ELSE 'supplier_' || k END AS term,
+        round(CASE WHEN k = (SELECT min(k) FROM g) THEN b0 ELSE ln(m / o) - b0 END, 5) AS estimate FROM g, f""",
+)
+def glm_many_levels(spark, folder):
+    """Every supplier a level of its own, on single order lines."""
+    part = table(spark, folder, "part").select("p_partkey", F.col("p_type").isin(GENRES).cast("int").alias("mature"))
+    lines = table(spark, folder, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("supplier"))
+    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("mature", "supplier")
+    fitted = models.fit_bernoulli(rows, "mature", ["supplier"])
+    return _rounded(models.coefficient_table(spark, fitted).select("term", "estimate"), {"estimate": 5})
+
+
 @query(
     "culture_model",
     f"""WITH RECURSIVE {FULL}, joined AS (SELECT production_countries_name,
@@ -302,15 +407,22 @@ def corr_matrix(spark, folder):
         (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
     e AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS v FROM d),
     c AS (SELECT '(Intercept)' AS term, b0 AS b, sqrt(v * (1.0 / n + (m1 * m1 * s22 + m2 * m2 * s11 - 2 * m1 * m2 * s12) / det)) AS se,
-            1 - v * (n - 3) / syy AS r2 FROM e
-        UNION ALL SELECT 'budget_mean', b1, sqrt(v * s22 / det), 1 - v * (n - 3) / syy FROM e
-        UNION ALL SELECT 'trials', b2, sqrt(v * s11 / det), 1 - v * (n - 3) / syy FROM e)
-    SELECT term, round(b, 3) AS estimate, round(se, 3) AS std_error, round(b / se, 5) AS t, round(r2, 6) AS r2 FROM c""",
+            1 - v * (n - 3) / syy AS r2, v, n FROM e
+        UNION ALL SELECT 'budget_mean', b1, sqrt(v * s22 / det), 1 - v * (n - 3) / syy, v, n FROM e
+        UNION ALL SELECT 'trials', b2, sqrt(v * s11 / det), 1 - v * (n - 3) / syy, v, n FROM e)
+    SELECT term, round(b, 3) AS estimate, round(se, 3) AS std_error, round(b / se, 5) AS t,
+        round({student_p('b / se', '(n - 3)')}, 6) AS p_value, round(r2, 6) AS r2,
+        round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adjusted_r2, round(sqrt(v), 3) AS sigma,
+        round((r2 / 2) / ((1 - r2) / (n - 3)), 5) AS f_statistic, CAST(n - 3 AS BIGINT) AS residual_df FROM c""",
 )
 def ols_fit(spark, folder):
+    """The table of a linear model with what its summary prints below."""
     fitted = models.fit_linear(measured(spark, folder), "s_acctbal", ["budget_mean", "trials"])
-    rows = models.linear_table(spark, fitted).withColumn("r2", F.lit(fitted.r2)).drop("p_value")
-    return _rounded(rows, {"estimate": 3, "std_error": 3, "t": 5, "r2": 6})
+    measures = models.linear_measures(spark, fitted).first().asDict()
+    rows = models.linear_table(spark, fitted).withColumns({k: F.lit(v) for k, v in measures.items()})
+    rows = rows.withColumn("residual_df", F.col("residual_df").cast("long"))
+    digits = {"estimate": 3, "std_error": 3, "t": 5, "p_value": 6, "r2": 6, "adjusted_r2": 6, "sigma": 3, "f_statistic": 5}
+    return _rounded(rows, digits)
 
 
 @query(
@@ -324,6 +436,21 @@ def vif(spark, folder):
     return _rounded(rows, {"tolerance": 6, "vif": 6})
 
 
+@query(
+    "gvif",
+    f"""WITH {CONTENT}, w AS (SELECT sum(ss) AS within_ss, count(*) AS levels FROM (
+            SELECT var_pop(budget_mean) * count(*) AS ss FROM content GROUP BY income_level)),
+    g AS (SELECT (SELECT var_pop(budget_mean) * count(*) FROM content) / within_ss AS v, levels FROM w)
+    SELECT 'income_level' AS predictor, CAST(levels - 1 AS INTEGER) AS df, round(v, 6) AS gvif,
+        round(pow(v, 1.0 / (2 * (levels - 1))), 6) AS scaled FROM g
+    UNION ALL SELECT 'budget_mean', 1, round(v, 6), round(sqrt(v), 6) FROM g""",
+)
+def gvif(spark, folder):
+    """A factor beside a number: both inflate by total over within-level variation."""
+    rows = diagnostics.generalised_inflation(content(spark, folder), ["income_level", "budget_mean"])
+    return _rounded(rows, {"gvif": 6, "scaled": 6})
+
+
 @query(
     "collinearity_diag",
     f"""{MEASURED}, r AS (SELECT sum(trials) / sqrt(count(*) * sum(trials * trials)) AS r FROM v),
@@ -403,34 +530,34 @@ def ci_wald(spark, folder):
     return _rounded(inference.wald_intervals(spark, fitted), {"estimate": 6, "lower": 6, "upper": 6})
 
 
-PROFILE_TERM = "income_level_ASIA"
-
-
 @query(
     "ci_profile",
     f"""WITH RECURSIVE {CONTENT}, {closed_form()},
-    two AS (SELECT gm AS m1, go AS o1, gn AS n1, rm AS m0, ro AS o0, rn AS n0, ln(gm / go) - ln(rm / ro) AS b,
-            sqrt(1 / gm + 1 / go + 1 / rm + 1 / ro) AS se,
+    two AS (SELECT 'income_level_' || income_level AS term, gm AS m1, go AS o1, gn AS n1, rm AS m0, ro AS o0, rn AS n0,
+            ln(gm / go) - ln(rm / ro) AS b, sqrt(1 / gm + 1 / go + 1 / rm + 1 / ro) AS se,
             gm * ln(gm / gn) + go * ln(go / gn) + rm * ln(rm / rn) + ro * ln(ro / rn) AS best
-        FROM grp, ref WHERE income_level = '{PROFILE_TERM.removeprefix('income_level_')}'),
-    search AS (SELECT 0 AS step, s.side, two.b AS inner_end, two.b + s.side * 8 * se AS outer_end FROM two, (VALUES (-1), (1)) s(side)
+        FROM grp, ref WHERE income_level <> ref_level
+        UNION ALL SELECT '(Intercept)', 0, 0, 0, rm, ro, rn, ln(rm / ro), sqrt(1 / rm + 1 / ro),
+            rm * ln(rm / rn) + ro * ln(ro / rn) FROM ref),
+    search AS (SELECT term AS of, 0 AS step, s.side, two.b AS inner_end, two.b + s.side * 8 * se AS outer_end FROM two, (VALUES (-1), (1)) s(side)
         UNION ALL
-        SELECT step + 1, side, CASE WHEN rise < {inference.CHI2_95!r} THEN middle ELSE inner_end END,
+        SELECT of, step + 1, side, CASE WHEN rise < {inference.CHI2_95!r} THEN middle ELSE inner_end END,
                CASE WHEN rise < {inference.CHI2_95!r} THEN outer_end ELSE middle END
-        FROM (SELECT step, side, inner_end, outer_end, middle,
-                2 * (best - (m0 * ln(t / (1 + t)) - o0 * ln(1 + t) + m1 * ln(c * t / (1 + c * t)) - o1 * ln(1 + c * t))) AS rise
-            FROM (SELECT *, (-qb + sqrt(qb * qb + 4 * qa * (m0 + m1))) / (2 * qa) AS t
+        FROM (SELECT of, step, side, inner_end, outer_end, middle,
+                2 * (best - CASE WHEN of = '(Intercept)' THEN m0 * ln(c / (1 + c)) - o0 * ln(1 + c)
+                    ELSE m0 * ln(t / (1 + t)) - o0 * ln(1 + t) + m1 * ln(c * t / (1 + c * t)) - o1 * ln(1 + c * t) END) AS rise
+            FROM (SELECT *, CASE WHEN of = '(Intercept)' THEN 1 ELSE (-qb + sqrt(qb * qb + 4 * qa * (m0 + m1))) / (2 * qa) END AS t
                 FROM (SELECT *, c * (n0 + n1 - m0 - m1) AS qa, n0 + n1 * c - (m0 + m1) * (1 + c) AS qb
                     FROM (SELECT *, (inner_end + outer_end) / 2 AS middle, exp((inner_end + outer_end) / 2) AS c
-                        FROM search, two WHERE step < 60))))),
-    ends AS (SELECT side, inner_end FROM search WHERE step = 60)
-    SELECT '{PROFILE_TERM}' AS term, round(b, 5) AS estimate, round((SELECT inner_end FROM ends WHERE side = -1), 5) AS lower,
-        round((SELECT inner_end FROM ends WHERE side = 1), 5) AS upper FROM two""",
+                        FROM search JOIN two ON of = term WHERE step < 60))))),
+    ends AS (SELECT of, max(CASE WHEN side = -1 THEN inner_end END) AS lower, max(CASE WHEN side = 1 THEN inner_end END) AS upper
+        FROM search WHERE step = 60 GROUP BY of)
+    SELECT term, round(b, 5) AS estimate, round(lower, 5) AS lower, round(upper, 5) AS upper FROM two JOIN ends ON of = term""",
 )
 def ci_profile(spark, folder):
+    """Every coefficient; all ends are sought in the same passes."""
     rows, fitted = fit(spark, folder)
-    interval = inference.profile_interval(rows, fitted, PROFILE_TERM)
-    return _rounded(interval, {"estimate": 5, "lower": 5, "upper": 5})
+    return _rounded(inference.profile_intervals(rows, fitted), {"estimate": 5, "lower": 5, "upper": 5})
 
 
 @query(
