@@ -22,7 +22,8 @@ One with more than ``HOT`` would make a block too large for a task. Its windows
 themselves: a 128-bit hash per window, whose smallest doc_id is found with partial
 aggregation. So a passage that a third of all documents share is no burden for any one
 task, and nothing is left out. Both limits bound a block: some 23 anchors stand in a slab of
-512 words, and 92 words lie around an anchor, so it holds about 1.5 million words at most.
+512 words, and 92 words lie around an anchor, so it holds about 2.2 million words at most,
+which take a task some 400 MB.
 
 Defined cases: a null text has no words; rows that repeat a doc_id are documents that do
 not count as smaller than each other; a null doc_id counts as larger than any other, and
@@ -32,7 +33,7 @@ such rows do not count against each other.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from folkscope.session import materialise, scratch_path
 WINDOW = 50
 GRAM = 8
 CROWDED = 700  # occurrences of an anchor after which it leaves its slab's block
-HOT = 16_000
+HOT = 24_000
 SLAB_WORDS = 512
 BLOCK_WORDS = 1 << 19  # words after which a task closes a batch of whole blocks
 CACHE_WORDS = 1 << 19
@@ -198,16 +199,15 @@ def cut_passages(marked: DataFrame, window: int, gram: int) -> DataFrame:
 class ReferenceBlock:
     """Distinct passages, each with its smallest document, as one text with a suffix array over it."""
 
-    def __init__(self, texts: list[list[bytes]], owners: np.ndarray, window: int):
+    def __init__(self, texts: Iterable[bytes], sizes: np.ndarray, owners: np.ndarray, window: int):
         number: dict[bytes, int] = {}
-        sizes = np.array([len(t) for t in texts])
         self.start = np.cumsum(sizes + 1) - sizes - 1
         self.text = np.zeros(int((sizes + 1).sum()), np.int64)
-        for at, words in zip(self.start, texts, strict=True):
-            self.text[at : at + len(words)] = [number.setdefault(w, len(number) + 1) for w in words]
+        for at, size, text in zip(self.start, sizes, texts, strict=True):
+            self.text[at : at + size] = [number.setdefault(w, len(number) + 1) for w in text.split(b" ")]
         self.end = self.start + sizes
         # Each passage ends in a number of its own, so no match reaches over an end.
-        self.text[self.end] = len(number) + 1 + np.arange(len(texts))
+        self.text[self.end] = len(number) + 1 + np.arange(len(sizes))
         self.owner = np.repeat(owners, sizes + 1)
         order, same = windows_in_order(self.text, window)
         group = np.cumsum(~same) - 1
@@ -272,7 +272,9 @@ def parse_blocks(sent: DataFrame, window: int) -> DataFrame:
             kind = [place.setdefault(r[4], len(place)) for r in rows]
             owners = np.full(len(place), LAST, np.int64)
             np.minimum.at(owners, kind, [r[0] for r in rows])
-            block = ReferenceBlock([t.split(b" ") for t in place], owners, window)
+            sizes = np.zeros(len(place), np.int64)
+            sizes[kind] = [r[3] for r in rows]
+            block = ReferenceBlock(place, sizes, owners, window)
             found = [block.factors(k) for k in range(len(place))]
             out: list[tuple[int, int, int, int]] = []
             for (doc_id, tag, begin, words, _), k in zip(rows, kind, strict=True):

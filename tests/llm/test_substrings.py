@@ -97,8 +97,8 @@ def test_every_window_has_an_anchor():
 
 
 def test_factors_cross_their_ends():
-    block = S.ReferenceBlock([list("abcdefgh"), list("ghijklmn"), list("xxcdefgh"), list("efghijkl"), list("abcdefghijkl")], np.array([1, 2, 3, 4, 5]), 4)
     texts = ["abcdefgh", "ghijklmn", "xxcdefgh", "efghijkl", "abcdefghijkl"]
+    block = S.ReferenceBlock([" ".join(t).encode() for t in texts], np.array([len(t) for t in texts]), np.array([1, 2, 3, 4, 5]), 4)
     for k in range(5):
         gone = set()
         for a, b in block.factors(k):
