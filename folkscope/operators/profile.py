@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folkscope.operators.quantiles import exact_quantiles
@@ -68,6 +69,30 @@ def profile_skim(df: DataFrame, columns: list[str]) -> DataFrame:
     return with_quantiles(stats, df, columns, {0.0: "p0", 0.25: "p25", 0.5: "p50", 0.75: "p75", 1.0: "p100"})
 
 
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def profile_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing count, completeness, shortest and longest, empty and blank texts, distinct values per text column."""
+    stats = column_stats(
+        df,
+        columns,
+        {
+            "n_missing": _nulls,
+            "complete_rate": lambda c: F.count(c) / F.count(F.lit(1)),
+            "min_chars": lambda c: F.min(F.char_length(c)),
+            "max_chars": lambda c: F.max(F.char_length(c)),
+            "empty": lambda c: F.count_if(F.col(c) == ""),
+            "blank": lambda c: F.count_if((F.col(c) != "") & (F.trim(c) == "")),
+        },
+    )
+    # Long texts are counted by a digest of fixed size.
+    digests = df.select(*[F.sha2(F.col(c), 256).alias(c) for c in columns])
+    distinct = value_counts(digests, columns).filter("value IS NOT NULL").groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return stats.join(distinct, "feature", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows per (column, value as text); equal values are counted before the shuffle."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -157,15 +182,22 @@ def normality_test(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.select("feature", "n", statistic.alias("statistic"), F.exp(-statistic / 2).alias("p_value"))
 
 
-def ks_normality(df: DataFrame, column: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance to the normal curve with the column's mean and deviation."""
+def ks_normality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Kolmogorov-Smirnov distance of each column to the normal curve with its mean and deviation."""
     from pyspark.ml.stat import KolmogorovSmirnovTest
 
-    values = df.select(F.col(column).cast("double").alias(column)).dropna()
-    mean, sd = values.agg(F.avg(column), F.stddev_samp(column)).first()
-    return KolmogorovSmirnovTest.test(values, column, "norm", float(mean), float(sd))
+    found = []
+    moments = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).alias(c) for c in columns]).first()
+    for c in columns:
+        if moments[c].sd:
+            values = df.select(F.col(c).cast("double").alias(c)).dropna()
+            tested = KolmogorovSmirnovTest.test(values, c, "norm", float(moments[c].mean), float(moments[c].sd)).first()
+            found.append((c, float(tested.statistic), float(tested.pValue)))
+    return df.sparkSession.createDataFrame(found, "feature string, statistic double, p_value double")
 
 
+EDGE = 1e-9
+
 TRANSFORMS = {
     "origin": lambda c: F.col(c).cast("double"),
     "log": lambda c: F.when(F.col(c) > 0, F.ln(F.col(c).cast("double"))),
@@ -173,38 +205,34 @@ TRANSFORMS = {
 }
 
 
-def distribution_bins(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Equal-width histogram of the raw, log and square-root values.
+def distribution_bins(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """Equal-width histograms of the raw, log and square-root values of every column.
 
-    The three ranges are read from one aggregate; the counts are one more pass.
+    All ranges are read from one aggregate; the counts are one more pass. A value on an
+    edge, up to rounding, is in the bin above.
     """
-    span = df.agg(
-        *[
-            F.struct(F.min(fn(column)).alias("lo"), F.max(fn(column)).alias("hi")).alias(name)
-            for name, fn in TRANSFORMS.items()
-        ]
-    ).first()
+    forms = [(c, name, fn(c)) for c in columns for name, fn in TRANSFORMS.items()]
+    span = df.agg(*[F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias(f"s{i}") for i, (_, _, x) in enumerate(forms)]).first()
     cells = []
-    for name, fn in TRANSFORMS.items():
-        lo, hi = span[name]
+    for (c, name, x), (lo, hi) in zip(forms, span):
         if lo is None:
             continue
         width = (hi - lo) / bins or 1.0
-        bin_no = F.least(F.floor((fn(column) - lo) / width), F.lit(bins - 1)).cast("int") + 1
-        cells.append(F.struct(F.lit(name).alias("transform"), bin_no.alias("bin")))
+        bin_no = F.least(F.floor((x - lo) / width + EDGE), F.lit(bins - 1)).cast("int") + 1
+        cells.append(F.struct(F.lit(c).alias("feature"), F.lit(name).alias("transform"), bin_no.alias("bin")))
     counted = df.select(F.explode(F.array(*cells)).alias("c")).filter("c.bin IS NOT NULL")
-    return counted.groupBy("c.transform", "c.bin").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("c.feature", "c.transform", "c.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def normal_quantile_points(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
-    """Sample quantiles on a grid against those of the standard normal curve."""
+def normal_quantile_points(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Sample quantiles of every column on a grid against those of the standard normal curve."""
     from statistics import NormalDist
 
-    sample = exact_quantiles(df, [column], probs)
+    sample = exact_quantiles(df, columns, probs)
     curve = df.sparkSession.createDataFrame(
         [(float(p), NormalDist().inv_cdf(p)) for p in probs], "prob double, theoretical double"
     )
-    return sample.join(F.broadcast(curve), "prob").select("prob", "theoretical", F.col("value").alias("sample"))
+    return sample.join(curve, "prob").select("feature", "prob", "theoretical", F.col("value").alias("sample"))
 
 
 def point_pairs(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql.window import Window
 
 ACCURACY = 10_000
 DIRECT_LIMIT = 200_000
-PIVOT_ROWS = 1_000_000
-MAX_NARROWINGS = 8
 
 
 def exact_quantiles(
@@ -22,61 +20,66 @@ def exact_quantiles(
     probs: list[float],
     accuracy: int = ACCURACY,
     direct_limit: int = DIRECT_LIMIT,
-    pivot_rows: int = PIVOT_ROWS,
 ) -> DataFrame:
-    """Linearly interpolated quantiles as rows ``(feature, prob, value)``, nulls ignored.
+    """Linearly interpolated quantiles as rows ``(feature, prob, value)``; nulls and NaN are ignored.
 
     ``percentile`` keeps every distinct value of a column in one buffer, which
-    does not hold for a large continuous column. Here each wanted rank is searched
-    like in quickselect: pivots on both sides of it close in, all rows below and
-    between them are counted, and once few rows lie between, those are ranked.
-
-    Pivots come from a sketch over about ``pivot_rows`` random rows. They only steer
-    the search and never touch the answer: the counts are over all rows, and pivots
-    that miss their rank are dropped and chosen anew, further apart. Every pass is a
-    one-row aggregate over the pruned columns; only counts and pivots pass through
-    the driver.
+    does not hold for a large continuous column. Here one mergeable sketch over all rows
+    of all columns brackets every wanted rank: its rank error is at most one part in
+    ``accuracy``, so ends twice as far away hold the rank, and four parts in ``accuracy`` of
+    the rows lie between them. One more pass counts the rows below and inside. A bracket
+    that still holds more than ``direct_limit`` rows between its ends is sketched again by
+    itself, until none does: each round leaves less than a thousandth, so three passes
+    are enough for ten thousand times the limit and five for any table. Then the few
+    rows left are ranked. Every pass but the last is a one-row aggregate over the pruned
+    columns; only counts and bracket ends pass through the driver.
     """
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wanted, brackets = _whole_ranges(values, columns, probs)
-    heavy = {key: b["n"] for key, b in brackets.items() if b["n"] > direct_limit and b["lo"] < b["hi"]}
-    for seed in range(MAX_NARROWINGS):
-        if not heavy:
-            break
-        _close_in(values, wanted, brackets, heavy, accuracy, pivot_rows, seed)
-        heavy = _count_rows(values, wanted, brackets, heavy, direct_limit)
+    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    wanted, brackets = _first_brackets(values, columns, probs, accuracy)
+    heavy = _count_rows(values, wanted, brackets, {key: b["n"] for key, b in brackets.items()}, direct_limit)
+    while heavy:
+        before = {key: (brackets[key]["lo"], brackets[key]["hi"]) for key in heavy}
+        _close_in(values, wanted, brackets, heavy, accuracy)
+        # Ends stand still only around a few rows, fewer than a sketch tells apart; those are ranked.
+        moved = {key: n for key, n in heavy.items() if before[key] != (brackets[key]["lo"], brackets[key]["hi"])}
+        heavy = _count_rows(values, wanted, brackets, moved, direct_limit)
     return _rank_inside(values, wanted, brackets)
 
 
-def _whole_ranges(values, columns, probs):
-    """Wanted 0-based ranks per (column, prob), and the column's range as the first bracket."""
-    cells = [F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]
+def _first_brackets(values, columns, probs, accuracy):
+    """Wanted 0-based ranks per (column, prob), and the bracket of each from a sketch over all rows."""
+    margin = 2.0 / accuracy
+    ends = [min(max(x, 0.0), 1.0) for p in probs for x in (p - margin, p + margin)]
+    cells = [
+        F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.percentile_approx(c, ends, accuracy).alias("ends")).alias(c)
+        for c in columns
+    ]
     stats = values.agg(*cells).first()
     wanted, brackets = {}, {}
     for c in columns:
         s = stats[c]
-        for p in probs if s.n else []:
+        for k, p in enumerate(probs if s.n else []):
             rank = p * (s.n - 1)
             low_rank = math.floor(rank)
             wanted[c, p] = (low_rank, min(low_rank + 1, s.n - 1), rank - low_rank)
-            brackets[c, p] = {"lo": s.lo, "hi": s.hi, "below": 0, "n": s.n, "whole": (s.lo, s.hi), "misses": 0}
+            # Ranks are counted on n - 1 steps and shares on n rows, so on few rows the ends reach one row further.
+            few = s.n * margin < 4
+            lo = s.lo if few or p <= margin else s.ends[2 * k]
+            hi = s.hi if few or p >= 1 - margin else s.ends[2 * k + 1]
+            brackets[c, p] = {"lo": lo, "hi": hi, "below": 0, "n": s.n, "whole": (s.lo, s.hi), "misses": 0}
     return wanted, brackets
 
 
-def _close_in(values, wanted, brackets, heavy, accuracy, pivot_rows, seed) -> None:
-    """Move the ends of the brackets that hold too many rows towards their ranks.
+def _close_in(values, wanted, brackets, heavy, accuracy) -> None:
+    """Move the ends of the brackets that hold too many rows towards their ranks, by a sketch of what is inside.
 
-    The distance kept covers five standard errors of the sampled share and four of
-    the sketch, and grows after a miss. An end that would leave the bracket stays.
+    The distance kept is twice the sketch's error; it grows after a miss, which only a
+    sketch beyond its bound can cause. An end that would leave the bracket stays.
     """
-    fraction = min(1.0, pivot_rows / min(heavy.values()))
-    sampled = values if fraction == 1.0 else values.sample(fraction, seed)
     shared: dict[tuple, list] = {}
     for key, inside in heavy.items():
         b, (low_rank, high_rank, _) = brackets[key], wanted[key]
-        drawn = fraction * inside
-        error = 0.0 if fraction == 1.0 else 2.5 / math.sqrt(drawn) + 2 / drawn
-        margin = (error + 4.0 / accuracy) * 4 ** b["misses"]
+        margin = (2.0 / accuracy + 2.0 / inside) * 4 ** b["misses"]
         low, high = (low_rank - b["below"]) / inside - margin, (high_rank + 1 - b["below"]) / inside + margin
         shared.setdefault((key[0], b["lo"], b["hi"]), []).append((key, low, high))
     cells = []
@@ -84,7 +87,7 @@ def _close_in(values, wanted, brackets, heavy, accuracy, pivot_rows, seed) -> No
         shares = [min(max(x, 0.0), 1.0) for _, low, high in searches for x in (low, high)]
         within = F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c))
         cells.append(F.percentile_approx(within, shares, accuracy).alias(f"q{i}"))
-    for found, searches in zip(sampled.agg(*cells).first(), shared.values()):
+    for found, searches in zip(values.agg(*cells).first(), shared.values()):
         for i, (key, low, high) in enumerate(searches if found else []):
             if low > 0:
                 brackets[key]["lo"] = found[2 * i]
@@ -98,6 +101,8 @@ def _count_rows(values, wanted, brackets, moved, direct_limit) -> dict[tuple, in
     Only rows strictly between the ends count as too many: each end is one value and
     will be one row, whatever its frequency.
     """
+    if not moved:
+        return {}
     cells = []
     for i, key in enumerate(moved):
         c, b = F.col(key[0]), brackets[key]

@@ -10,11 +10,13 @@ from folkscope.operators import profile
 from folkscope.operators.aggregates import weighted_counts
 from folkscope.operators.reshape import pivot_wide
 from folkscope.plans.films import country_content, flag_poor_value, flag_profit, share_against_budget
-from folkscope.queries.analogs import FILMS, GENRES, MATURE_SQL, PRIORITIES, SURVEY, YEAR, films, survey
+from folkscope.queries.analogs import FILMS, GENRES, MATURE_SQL, PRIORITIES, SURVEY, YEAR, films, rated_documents, survey
 from folkscope.queries.registry import query
 from folkscope.sources.tables import SCHEMAS, table
 
-NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
 QQ_PROBS = [i / 20 for i in range(1, 20)]
 
 
@@ -31,6 +33,12 @@ def _rounded(df, keep: list[str]):
     return df.select(*[c if c in keep else F.round(c, 8 if c == "mean" else 6).alias(c) for c in df.columns])
 
 
+def half_normal(z: str) -> str:
+    """Area of the normal curve from 0 to abs(z), by the all-positive series of the error function."""
+    term = f"exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))"
+    return f"exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda k: {term}))"
+
+
 def _quantiles(names: dict[float, str]) -> str:
     return ", ".join(f"round(quantile_cont($, {p}), 6) AS {n}" for p, n in names.items())
 
@@ -60,23 +68,39 @@ def profile_summary(spark, folder):
     return _rounded(profile.profile_summary(table(spark, folder, "lineitem"), NUMBERS), ["feature", "n_missing"])
 
 
+RATED_NUMBERS = ["doc_id", "n_chars", "quality", "toxic"]
+
+
 @query(
     "profile_skim",
     _per_column(
         "count(*) - count(@) AS n_missing, round(count(@) / count(*), 6) AS complete_rate, round(avg($), 8) AS mean, "
         "round(stddev_samp($), 6) AS sd, "
         + _quantiles({0.0: "p0", 0.25: "p25", 0.5: "p50", 0.75: "p75", 1.0: "p100"}),
-        ["n_chars", "quality", "toxic"],
+        RATED_NUMBERS,
         "(SELECT * FROM documents LEFT JOIN labels USING (doc_id))",
     ),
 )
 def profile_skim(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "n_chars")
-    rated = documents.join(table(spark, folder, "labels"), "doc_id", "left")
-    return _rounded(profile.profile_skim(rated, ["n_chars", "quality", "toxic"]), ["feature", "n_missing"])
+    return _rounded(profile.profile_skim(rated_documents(spark, folder), RATED_NUMBERS), ["feature", "n_missing"])
+
 
+@query(
+    "profile_skim_text",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, count(*) - count({c}) AS n_missing, round(count({c}) / count(*), 6) AS complete_rate,
+        CAST(min(length({c})) AS INTEGER) AS min_chars, CAST(max(length({c})) AS INTEGER) AS max_chars,
+        count(*) FILTER ({c} = '') AS empty, count(*) FILTER ({c} <> '' AND trim({c}) = '') AS blank,
+        count(DISTINCT {c}) AS n_distinct FROM documents"""
+        for c in ("text", "lang", "source")
+    ),
+)
+def profile_skim_text(spark, folder):
+    documents = table(spark, folder, "documents")
+    return profile.profile_text(documents, profile.text_columns(documents)).withColumn("complete_rate", F.round("complete_rate", 6))
 
-TEXTS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]
+
+TEXTS = [*NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @query(
@@ -162,37 +186,55 @@ def profile_numeric(spark, folder):
     return _rounded(profile.profile_numeric(table(spark, folder, "lineitem"), NUMBERS), ["feature"])
 
 
-def _bins(name: str, expression: str) -> str:
-    return f"""SELECT '{name}' AS transform, CAST(least(floor((v - lo) / ((hi - lo) / 10)), 9) AS INTEGER) + 1 AS bin,
+@query(
+    "ks_normality",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(max(greatest(cdf - (i - 1) / n, i / n - cdf)), 6) AS statistic FROM (
+        SELECT *, 0.5 + sign(z) * {half_normal('z')} AS cdf FROM (
+            SELECT i, n, (v - m) / s AS z FROM (SELECT CAST({c} AS DOUBLE) AS v, avg({c}) OVER () AS m,
+                stddev_samp({c}) OVER () AS s, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n FROM lineitem)))"""
+        for c in NUMBERS
+    ),
+)
+def ks_normality(spark, folder):
+    tested = profile.ks_normality(table(spark, folder, "lineitem"), NUMBERS)
+    return tested.select("feature", F.round("statistic", 6).alias("statistic"))
+
+
+def _bins(column: str, name: str, expression: str) -> str:
+    expression = expression.replace("@", f"CAST({column} AS DOUBLE)")
+    return f"""SELECT '{column}' AS feature, '{name}' AS transform,
+        CAST(least(floor((v - lo) / ((hi - lo) / 10) + 1e-9), 9) AS INTEGER) + 1 AS bin,
         count(*) AS n FROM (SELECT {expression} AS v FROM lineitem),
-        (SELECT min({expression}) AS lo, max({expression}) AS hi FROM lineitem) WHERE v IS NOT NULL GROUP BY 1, 2"""
+        (SELECT min({expression}) AS lo, max({expression}) AS hi FROM lineitem) WHERE v IS NOT NULL GROUP BY 1, 2, 3"""
 
 
 @query(
     "distribution_bins",
     " UNION ALL ".join(
-        (
-            _bins("origin", "l_extendedprice"),
-            _bins("log", "CASE WHEN l_extendedprice > 0 THEN ln(l_extendedprice) END"),
-            _bins("sqrt", "CASE WHEN l_extendedprice >= 0 THEN sqrt(l_extendedprice) END"),
+        _bins(c, name, e)
+        for c in NUMBERS
+        for name, e in (
+            ("origin", "@"), ("log", "CASE WHEN @ > 0 THEN ln(@) END"), ("sqrt", "CASE WHEN @ >= 0 THEN sqrt(@) END"),
         )
     ),
-)
+)
 def distribution_bins(spark, folder):
-    return profile.distribution_bins(table(spark, folder, "lineitem"), "l_extendedprice")
+    return profile.distribution_bins(table(spark, folder, "lineitem"), NUMBERS)
 
 
 @query(
     "qq_points",
     " UNION ALL ".join(
-        f"SELECT CAST({p} AS DOUBLE) AS prob, round({NormalDist().inv_cdf(p)!r}::DOUBLE, 8) AS theoretical, "
-        f"round(quantile_cont(l_extendedprice, {p}), 4) AS sample FROM lineitem"
+        f"SELECT '{c}' AS feature, CAST({p} AS DOUBLE) AS prob, round({NormalDist().inv_cdf(p)!r}::DOUBLE, 8) AS theoretical, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 4) AS sample FROM lineitem"
+        for c in NUMBERS
         for p in QQ_PROBS
     ),
 )
 def qq_points(spark, folder):
-    points = profile.normal_quantile_points(table(spark, folder, "lineitem"), "l_extendedprice", QQ_PROBS)
-    return points.select("prob", F.round("theoretical", 8).alias("theoretical"), F.round("sample", 4).alias("sample"))
+    points = profile.normal_quantile_points(table(spark, folder, "lineitem"), NUMBERS, QQ_PROBS)
+    return points.withColumns({"theoretical": F.round("theoretical", 8), "sample": F.round("sample", 4)})
 
 
 @query(
