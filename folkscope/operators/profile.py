@@ -218,7 +218,8 @@ def distribution_bins(df: DataFrame, columns: list[str], bins: int = 10) -> Data
         if lo is None:
             continue
         width = (hi - lo) / bins or 1.0
-        bin_no = F.least(F.floor((x - lo) / width + EDGE), F.lit(bins - 1)).cast("int") + 1
+        # least() passes over nulls, which are in no bin.
+        bin_no = F.when(x.isNotNull(), F.least(F.floor((x - lo) / width + EDGE), F.lit(bins - 1)).cast("int") + 1)
         cells.append(F.struct(F.lit(c).alias("feature"), F.lit(name).alias("transform"), bin_no.alias("bin")))
     counted = df.select(F.explode(F.array(*cells)).alias("c")).filter("c.bin IS NOT NULL")
     return counted.groupBy("c.feature", "c.transform", "c.bin").agg(F.count(F.lit(1)).alias("n"))
