@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folkscope.fixed_values import ACCEPTANCE_YES, IMPORTANCE_YES
+
 from folkscope.functions.conditions import ladder
 from folkscope.operators.joins import left_join_sql
 
@@ -28,7 +30,7 @@ def importance_merges(prefix: str) -> dict[str, tuple[str, str]]:
     }
 
 
-def diverging_share(df: DataFrame, answer: str, share: str, yes: list[str]) -> DataFrame:
+def diverging_share(df: DataFrame, answer: str, share: str, yes: list[str] = IMPORTANCE_YES + ACCEPTANCE_YES) -> DataFrame:
     """Answers as Yes/No and the share signed so that both sides leave zero.
 
     Every answer outside ``yes``, undecided and refused ones too, counts as No.
@@ -39,7 +41,7 @@ def diverging_share(df: DataFrame, answer: str, share: str, yes: list[str]) -> D
     return sided.withColumn("response", signed)
 
 
-def answer_chart(shares: DataFrame, countries: DataFrame, question: str, yes: list[str]) -> DataFrame:
+def answer_chart(shares: DataFrame, countries: DataFrame, question: str, yes: list[str] = IMPORTANCE_YES + ACCEPTANCE_YES) -> DataFrame:
     """Chart rows of one question: signed shares with the income level of the country."""
     sided = diverging_share(shares, question, "weighted_estimate", yes)
     return left_join_sql(sided, countries, question)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folkscope.fixed_values import LAST_EXCLUDED_YEAR, MATURE_GENRES
+from folkscope.fixed_values import LAST_EXCLUDED_YEAR, MATURE_GENRES, POOR_VALUE_BUDGET, POOR_VALUE_RATING
 from folkscope.functions.conditions import member_flag, member_of
 from folkscope.functions.dates import parse_dmy
 from folkscope.functions.numbers import extrapolate, thousands
@@ -73,7 +73,7 @@ def model_table(joined: DataFrame, prefix: str = "gender") -> DataFrame:
     return joined.withColumn(f"extrapolated_{prefix}Y", F.ln(scaled)).drop(*used)
 
 
-def flag_poor_value(films: DataFrame, budget: float, rating: float) -> DataFrame:
+def flag_poor_value(films: DataFrame, budget: float = POOR_VALUE_BUDGET, rating: float = POOR_VALUE_RATING) -> DataFrame:
     """Budget against rating: ``0`` marks costly films with a low rating, ``1`` the rest."""
     poor = (F.col("budget") > budget) & (F.col("vote_average") < rating)
     flagged = films.withColumn("avg", F.when(poor, "0").when(~poor, "1"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folkscope.fixed_values import SCORE_BIN_EDGES
+from folkscope.fixed_values import CULTURE_CODES, NAME_ALIASES, SCORE_BIN_EDGES
 from folkscope.functions import dates, numbers, text
 from folkscope.operators.aggregates import weighted_counts
 from folkscope.operators.reshape import pivot_wide
 from folkscope.operators.survey import collapse_levels, recode, recode_all_columns
+from folkscope.plans.culture import harmonised
 from folkscope.plans.films import model_table
 from folkscope.queries.analogs import FILMS, PRIORITIES, SCORES, SURVEY, films, scores, survey
 from folkscope.queries.registry import query
@@ -64,6 +65,42 @@ def name_harmonise(spark, folder):
     return recode(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ALIASES)
 
 
+CULTURE_KEYS = [*CULTURE_CODES, "USA", "FRA"]  # the last two stand for themselves
+ALIAS_KEYS = [*dict.fromkeys(k for names in NAME_ALIASES.values() for k in names), "France", "United States of America States"]
+
+
+def _cycled(keys: list[str]) -> str:
+    return "[" + ", ".join(f"'{k}'" for k in keys) + f"][c_custkey % {len(keys)} + 1]"
+
+
+def _one_of(keys: list[str]):
+    return F.element_at(F.lit(keys), (F.col("c_custkey") % len(keys) + 1).cast("int"))
+
+
+@query(
+    "code_mapping_culture",
+    f"SELECT c_custkey, {_case('code', CULTURE_CODES)} AS code FROM (SELECT c_custkey, {_cycled(CULTURE_KEYS)} AS code FROM customer)",
+)
+def code_mapping_culture(spark, folder):
+    """The whole code table of the culture scores, with codes it does not list."""
+    customers = table(spark, folder, "customer").select("c_custkey", _one_of(CULTURE_KEYS).alias("code"))
+    return recode(customers, "code", CULTURE_CODES)
+
+
+@query(
+    "name_harmonise_sources",
+    "SELECT c_custkey, "
+    + ", ".join(f"{_case('country', names)} AS {source}" for source, names in NAME_ALIASES.items())
+    + f" FROM (SELECT c_custkey, {_cycled(ALIAS_KEYS)} AS country FROM customer)",
+)
+def name_harmonise_sources(spark, folder):
+    """The names of every source as the names used everywhere."""
+    customers = table(spark, folder, "customer").select("c_custkey", _one_of(ALIAS_KEYS).alias("country"))
+    for source in NAME_ALIASES:
+        customers = harmonised(customers.withColumn(source, F.col("country")), source, source)
+    return customers.drop("country")
+
+
 @query(
     "concat_text",
     """SELECT doc_id, 'doc ' || doc_id || '-' || coalesce(CAST(quality AS VARCHAR), 'NA') || ' range.csv' AS name

@@ -71,22 +71,20 @@ def json_flatten_first(spark, folder):
     flag, status = item.format("2", "l_returnflag"), item.format("3", "l_linestatus")
     lines = table(spark, folder, "lineitem")
     rows = lines.select(
-        F.to_json(
-            F.struct(
-                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("imdb_id"),
-                (F.col("l_returnflag") == "R").alias("adult"),
-                F.expr(
-                    f"CASE WHEN l_quantity < 5 THEN filter(array({flag}), x -> false) "
-                    f"WHEN l_quantity < 25 THEN array({unnamed}, {status}) ELSE array({flag}, {status}) END"
-                ).alias("genres"),
-                F.expr(f"array({flag})").alias("production_countries"),
-                F.col("l_extendedprice").alias("budget"),
-                F.col("l_linenumber").alias("vote_count"),
-            )
-        ).alias("record")
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("imdb_id"),
+        (F.col("l_returnflag") == "R").alias("adult"),
+        F.expr(
+            f"CASE WHEN l_quantity < 5 THEN filter(array({flag}), x -> false) "
+            f"WHEN l_quantity < 25 THEN array({unnamed}, {status}) ELSE array({flag}, {status}) END"
+        ).alias("genres"),
+        F.expr(f"array({flag})").alias("production_countries"),
+        F.col("l_extendedprice").alias("budget"),
+        F.col("l_linenumber").alias("vote_count"),
     )
+    path = scratch_path(spark, "records")
+    rows.write.json(path)
     fields = ["imdb_id", "adult", "genres_name", "production_countries_name", "budget", "vote_count"]
-    return records.flatten_film_records(rows, fields=fields)
+    return records.read_film_records(spark, path, fields)
 
 
 @query(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folkscope.fixed_values import FILM_FIELDS
 
+CORRUPT = "_corrupt_record"
+
 _NAMED = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())]))
 
 FILM_RECORD = T.StructType(
@@ -37,19 +39,44 @@ def first_name(array: str) -> Column:
 FIRST_NAMES = {"genres_name": "genres", "production_countries_name": "production_countries"}
 
 
+def _parts(fields: list[str]) -> list[T.StructField]:
+    wanted = {"imdb_id", *[FIRST_NAMES.get(f, f) for f in fields]}
+    return [f for f in FILM_RECORD.fields if f.name in wanted]
+
+
+def _flat(record: DataFrame, fields: list[str]) -> DataFrame:
+    special = {name: first_name(array) for name, array in FIRST_NAMES.items()}
+    special["adult"] = F.when(F.col("adult"), "TRUE").when(~F.col("adult"), "FALSE")
+    return record.select(*[special[f].alias(f) if f in special else F.col(f) for f in fields])
+
+
+def read_film_records(spark: SparkSession, path: str, fields: list[str] = FILM_FIELDS) -> DataFrame:
+    """JSON-lines film records to one flat row each, first genre and country kept.
+
+    Only the parts of the wanted fields are parsed, and fewer if fewer columns are used
+    later. Records without an id leave; what cannot be read at all is counted by
+    ``unreadable_records``.
+    """
+    schema = T.StructType(_parts(fields))
+    return _flat(spark.read.schema(schema).json(path).filter(F.col("imdb_id").isNotNull()), fields)
+
+
+def unreadable_records(spark: SparkSession, path: str) -> DataFrame:
+    """The lines below a path that are no film record, as they stand."""
+    schema = T.StructType([*FILM_RECORD.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT})
+    return spark.read.text(path).select(parsed[CORRUPT].alias(CORRUPT)).filter(F.col(CORRUPT).isNotNull())
+
+
 def flatten_film_records(df: DataFrame, text: str = "record", fields: list[str] = FILM_FIELDS) -> DataFrame:
-    """JSON film records to one flat row each, first genre and country kept.
+    """The same for records that are a text column.
 
     The parsed record is unfolded by a generator: a later filter on one of its fields
     then stays above the parse, where a plain projection would parse once for the
     filter and again for the row. Only the parts of the wanted fields are parsed.
     """
-    parts = {"imdb_id", *[FIRST_NAMES.get(f, f) for f in fields]}
-    schema = T.StructType([f for f in FILM_RECORD.fields if f.name in parts])
-    record = df.select(F.inline(F.array(F.from_json(text, schema)))).filter(F.col("imdb_id").isNotNull())
-    special = {name: first_name(array) for name, array in FIRST_NAMES.items()}
-    special["adult"] = F.when(F.col("adult"), "TRUE").when(~F.col("adult"), "FALSE")
-    return record.select(*[special[f].alias(f) if f in special else F.col(f) for f in fields])
+    record = df.select(F.inline(F.array(F.from_json(text, T.StructType(_parts(fields))))))
+    return _flat(record.filter(F.col("imdb_id").isNotNull()), fields)
 
 
 def decode_labels(df: DataFrame, code: str, labels: DataFrame, label_code: str, label: str, name: str) -> DataFrame:

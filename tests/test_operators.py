@@ -262,6 +262,15 @@ def test_pivot_refuses_unlisted_levels(spark):
     assert reshape.pivot_wide(df, ["id"], "k", "v", ["yes", "no"], unlisted="drop").first().yes == 1.0
 
 
+def test_unreadable_records_are_told_from_records_without_id(spark, tmp_path):
+    from folkscope.sources import records
+
+    (tmp_path / "r.json").write_text('{"imdb_id": "a", "budget": 1.5}\n{"budget": 2}\n{"imdb_id": "b", \nnot json\n')
+    rows = records.read_film_records(spark, str(tmp_path), ["imdb_id", "budget"]).collect()
+    assert [tuple(r) for r in rows] == [("a", 1.5)]
+    assert sorted(r[0] for r in records.unreadable_records(spark, str(tmp_path)).collect()) == ["not json", '{"imdb_id": "b", ']
+
+
 def test_text_profile(spark):
     df = spark.createDataFrame([("a", 1), ("", 1), ("  ", 1), (None, 1), ("a", 1)], "t string, n int")
     assert profile.text_columns(df) == ["t"]
