@@ -36,6 +36,13 @@ HEADLINE = [
     "glm_bernoulli",
     "augment",
     "ols_fit",
+    "ci_profile",
+    "refit_without",
+    "culture_model",
+    "film_table",
+    "analysis_table",
+    "profile_describe",
+    "profile_numeric",
 ]
 
 

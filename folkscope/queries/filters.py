@@ -145,13 +145,13 @@ def split_by_level(spark, folder):
 
 @query(
     "per_level_subset",
-    f"""WITH {FILMS} SELECT genres_name, row_number() OVER (PARTITION BY genres_name ORDER BY imdb_id) AS point,
+    f"""WITH {FILMS} SELECT genres_name, row_number() OVER (PARTITION BY genres_name ORDER BY imdb_id, budget, revenue) AS point,
         imdb_id, budget, revenue FROM films""",
 )
 def per_level_subset(spark, folder):
     """The points of every level at once, numbered inside their level."""
     rows = films(spark, folder, country=False).select("genres_name", "imdb_id", "budget", "revenue")
-    return level_index(rows, "genres_name", ["imdb_id"], "point")
+    return level_index(rows, "genres_name", ["imdb_id", "budget", "revenue"], "point")
 
 
 @query(
