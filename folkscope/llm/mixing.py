@@ -26,7 +26,7 @@ from folkscope.session import materialise
 CYCLE = (5, 2, 1)  # weights of sources in their order, repeating
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
-SLICE_ROWS = 20_000  # rows of a source per slice of its key range
+SLICE_ROWS = 4_000  # rows of a source per slice of its key range
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
