@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,32 +93,50 @@ def _close_in(values, wanted, brackets, heavy, accuracy) -> None:
                 brackets[key]["hi"] = found[2 * i + 1]
 
 
+def _edges(brackets, keys) -> dict[str, list[float]]:
+    """The distinct ends of the given brackets per column, in order."""
+    ends: dict[str, set] = {}
+    for key in keys:
+        ends.setdefault(key[0], set()).update((brackets[key]["lo"], brackets[key]["hi"]))
+    return {c: sorted(e) for c, e in ends.items()}
+
+
+def _cell(column: str, edges: list[float]) -> Column:
+    """Where a value lies among the edges: 2 j + 1 on edge j, 2 j before it; null for null."""
+    value = F.col(column)
+    ladder = F.when(value.isNull(), None)
+    for j, edge in enumerate(edges):
+        ladder = ladder.when(value < edge, 2 * j).when(value == edge, 2 * j + 1)
+    return ladder.otherwise(2 * len(edges))
+
+
 def _count_rows(values, wanted, brackets, moved, direct_limit) -> dict[tuple, int]:
     """Count all rows below and inside the moved brackets; return those that still hold too many.
 
-    Only rows strictly between the ends count as too many: each end is one value and
-    will be one row, whatever its frequency.
+    Every value is placed among the ends of its column's brackets, and places are counted
+    with partial sums. Only rows strictly between the ends of a bracket count as too many:
+    each end is one value and will be one row, whatever its frequency.
     """
     if not moved:
         return {}
-    cells = []
-    for i, key in enumerate(moved):
-        c, b = F.col(key[0]), brackets[key]
-        cells += [
-            F.count_if(c < b["lo"]).alias(f"below{i}"),
-            F.count_if((c >= b["lo"]) & (c <= b["hi"])).alias(f"inside{i}"),
-            F.count_if((c > b["lo"]) & (c < b["hi"])).alias(f"between{i}"),
-        ]
-    counts = values.agg(*cells).first()
+    edges = _edges(brackets, moved)
+    places = F.array(*[F.struct(F.lit(c).alias("c"), _cell(c, e).alias("cell")) for c, e in edges.items()])
+    found = values.select(F.explode(places).alias("p")).select("p.*").groupBy("c", "cell").count().collect()
+    counts = {c: [0] * (2 * len(e) + 1) for c, e in edges.items()}
+    for row in found:
+        if row.cell is not None:
+            counts[row.c][row.cell] = row["count"]
     heavy = {}
-    for i, key in enumerate(moved):
+    for key in moved:
         b, (low_rank, high_rank, _) = brackets[key], wanted[key]
-        b["below"], inside = counts[f"below{i}"], counts[f"inside{i}"]
+        column, ends = counts[key[0]], edges[key[0]]
+        first, last = 2 * ends.index(b["lo"]) + 1, 2 * ends.index(b["hi"]) + 1
+        b["below"], inside = sum(column[:first]), sum(column[first : last + 1])
         if b["below"] > low_rank or b["below"] + inside <= high_rank:
             b["lo"], b["hi"] = b["whole"]
             b["below"], heavy[key] = 0, b["n"]
             b["misses"] += 1
-        elif counts[f"between{i}"] > direct_limit:
+        elif sum(column[first + 1 : last]) > direct_limit:
             heavy[key] = inside
     return heavy
 
@@ -147,24 +163,29 @@ def _rank_inside(values, wanted, brackets) -> DataFrame:
         return found
     schema = "slot int, feature string, prob double, low_rank long, high_rank long, fraction double"
     lookup = spark.createDataFrame(lookups, schema)
-    inside = {slot: (F.col(c) >= lo) & (F.col(c) <= hi) for (c, lo, hi), slot in slots.items()}
-    members = [
-        F.when(inside[slot], F.struct(F.lit(slot).alias("slot"), F.col(c).alias("v"))) for (c, _, _), slot in slots.items()
-    ]
+    edges = _edges(brackets, [key for key, b in brackets.items() if b["lo"] != b["hi"]])
+    members = []
+    for c, ends in edges.items():
+        inside = set()
+        for of, lo, hi in slots:
+            if of == c:
+                inside |= set(range(2 * ends.index(lo) + 1, 2 * ends.index(hi) + 2))
+        members.append(F.when(_cell(c, ends).isin(sorted(inside)), F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))))
     runs = (
-        values.filter(reduce(or_, inside.values()))
-        .select(F.explode(F.array(*members)).alias("m"))
+        values.select(F.explode(F.array(*members)).alias("m"))
         .filter("m IS NOT NULL")
-        .groupBy("m.slot", "m.v")
+        .groupBy("m.c", "m.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    spans = spark.createDataFrame([(slot, c, float(lo), float(hi)) for (c, lo, hi), slot in slots.items()], "slot int, of string, lo double, hi double")
+    runs = runs.join(spans, (F.col("c") == F.col("of")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
     upto = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = runs.withColumn("last", F.sum("n").over(upto) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
 
     def covers(rank: str):
         return (F.col("first") <= F.col(rank)) & (F.col(rank) <= F.col("last"))
 
-    hits = ranked.join(F.broadcast(lookup), "slot").filter(covers("low_rank") | covers("high_rank"))
+    hits = ranked.join(lookup, "slot").filter(covers("low_rank") | covers("high_rank"))
     ends = hits.groupBy("feature", "prob", "fraction").agg(
         F.max(F.when(covers("low_rank"), F.col("v"))).alias("a"),
         F.max(F.when(covers("high_rank"), F.col("v"))).alias("b"),
