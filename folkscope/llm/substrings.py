@@ -332,6 +332,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
             (F.col("n") > hot).alias("hot"),
         )
     )
+    # Written first: the join then has a plain shuffle on either side, and AQE can split what one anchor fills.
+    shared = materialise(shared, "shared-anchors")
     marks = (
         found.join(shared, F.col("anchor") == F.col("shared_anchor"))
         .groupBy(F.col("doc_id").alias("marked_id"), F.col("tag").alias("marked_tag"))
