@@ -213,8 +213,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every linked node: root is the least node of its component.
 
     Alternates the two star steps until a round changes nothing. Each step finds the least
-    neighbour by partial aggregation and joins it back, so a node with very many links is
-    neither collected nor held by one task.
+    neighbour by partial aggregation, writes that, and joins it back, so a node with very
+    many links is neither collected nor held by one task: the join may split it.
     """
     spark = links.sparkSession
     edges = materialise(links.select("a", "b"), "links")  # a > b
@@ -224,10 +224,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             return spark.createDataFrame([], "node long, root long")
         # Large star: each node's larger neighbours are linked to its least neighbour (or itself).
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n")
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n"), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: each node's smaller neighbours, and itself, are linked to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+        large = materialise(large, "large-star")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "least")
         small = large.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a > b").distinct()
         edges = materialise(stars, "stars")
