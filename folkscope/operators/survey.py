@@ -52,10 +52,10 @@ def recode(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
 
     A single exact lookup has no order hazards (``A->B`` beside ``B->C``) and no
     partial matches (``X_1`` inside ``X_10``). The table is a literal of the
-    program, so broadcasting it is safe at any data size.
+    program; the planner sees its size and broadcasts it.
     """
     table = df.sparkSession.createDataFrame(list(mapping.items()), "_old string, _new string")
-    joined = df.join(F.broadcast(table), F.col(column) == F.col("_old"), "left")
+    joined = df.join(table, F.col(column) == F.col("_old"), "left")
     return joined.withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
