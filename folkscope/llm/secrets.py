@@ -35,10 +35,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_CHARS = 20
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so its length can stand in the pattern
 
-#: A credential word, up to two further words, a separator or "is", and a value up to white space or a quote.
+#: A name that holds a credential word, up to two further words, a separator or "is", and a value up to white space or
+#: a quote. A name is entered at its begin and taken whole, so that the search stays linear.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|auth|private|signing)[_-]?key)\b"""
-    r"""["']?\x20{0,4}(?:[:=]|\bis\b|=>)\x20{0,4}["'`]?([^\s"'`<>]{6,})""",
+    r"""(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|auth|private|signing)[_-]?key))"""
+    r"""[A-Za-z0-9_-]*+["']?(?:[\x20\t]++(?!is\b)[A-Za-z0-9_-]++["']?){0,2}[\x20\t]*+(?:=>|[:=]|\bis\b)[\x20\t]*+["'`]?([^\s"'`<>]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"key")

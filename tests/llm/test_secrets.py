@@ -77,3 +77,21 @@ def test_context_value_is_added(spark):
     text = "first password = 'hunter2x' then pwd: 'zX9!kQ#27vLm$wTr' and passphrase is qwertyuiop"
     (row,) = S.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [s.value for s in row.found if s.kind == "guess"] == ["zX9!kQ#27vLm$wTr"]
+
+
+def test_context_of_names_further_words_and_tabs(spark):
+    value = "x9$kQ!72mmZp#"
+    forms = [f'SECRET_KEY = "{value}"', f"password for admin: {value}", f"db_password_prod: {value}", f"password:\t{value}",
+             f"token      =>  {value}", f"the passphrase now is {value}", f"secret of the house: {value}"]
+    rows = S.scan_secrets(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).collect()
+    found = {r.doc_id: [s.value for s in r.found if s.kind == "guess"] for r in rows}
+    assert [found[k] for k in range(len(forms))] == [[value]] * 6 + [[]]
+
+
+def test_context_search_is_linear():
+    import time
+
+    start = time.perf_counter()
+    for text in ("password" * 20_000, "secret_" * 20_000, "token " * 20_000, "key" + " " * 100_000, "password" + "\t" * 100_000):
+        assert not S.CONTEXT.search(text)
+    assert time.perf_counter() - start < 5
