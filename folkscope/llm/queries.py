@@ -1,6 +1,7 @@
 """All queries of this subpackage; importing this module registers them."""
 
 from folkscope.llm import (  # noqa: F401
+    bpe,
     chat,
     decontaminate,
     mixing,
