@@ -3,6 +3,7 @@
 from folkscope.llm import (  # noqa: F401
     bpe,
     chat,
+    codes,
     decontaminate,
     mixing,
     quality,
