@@ -5,6 +5,7 @@ from folkscope.llm import (  # noqa: F401
     chat,
     codes,
     decontaminate,
+    lexical,
     mixing,
     quality,
     secrets,
