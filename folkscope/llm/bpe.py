@@ -26,6 +26,7 @@ doc_id, or have none, are documents each; no cap on a text's length.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -41,10 +42,10 @@ from folkscope.llm.registry import read_table, register
 from folkscope.llm.tokens import gathered
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 1 << 18  # of the transducer; beyond it, it starts anew
-MAX_PAIRS = 1 << 20
-CACHE_UNITS = 1 << 20
-CACHE_CHARS = 1 << 25
+MAX_STATES = 3 << 16  # of the transducer; beyond it, it starts anew
+MAX_PAIRS = 1 << 18
+CACHE_UNITS = 1 << 19
+CACHE_CHARS = 1 << 23
 CHUNK = 1 << 20  # characters; longer texts are cut into pieces some at a time
 FLUSH_IDS = 1 << 20
 START = -1
@@ -86,8 +87,18 @@ def merge_steps(data: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], list
     return parts, steps
 
 
+class Node:
+    """Bytes that a token begins with: the token that they are, if any, and what longer tokens go on with."""
+
+    __slots__ = ("following", "token")
+
+    def __init__(self):
+        self.following: dict[int, Node] = {}
+        self.token: int | None = None
+
+
 class State(dict):
-    """One place of a text: the open tokens, oldest first, each as (bytes read, token before it, tokens not yet emitted).
+    """One place of a text: the open tokens, oldest first, each as (node reached, token before it, tokens not yet emitted).
 
     As a mapping it holds its moves, (next state, tokens emitted on the way) by byte, each made at its first use.
     """
@@ -108,16 +119,22 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
-        #: For whatever a token begins with: the token that it is, if any, and whether longer ones begin with it.
-        self.nodes = {read: (ranks.get(read), read in prefixes) for read in prefixes.union(ranks)}
+        self.top = Node()
+        for token, rank in ranks.items():
+            node = self.top
+            for byte in token:
+                node = node.following.get(byte) or node.following.setdefault(byte, Node())
+            node.token = rank
         self.pairs: dict[tuple[int, int], bool] = {}
         self.steps: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
+        self.states: dict[tuple, State] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.start = self.state(((b"", START, ()),))
+        for state in self.states.values():
+            state.clear()  # states refer to each other; without their moves they go at once
+        self.states = {}
+        self.start = self.state(((self.top, START, ()),))
 
     def state(self, open_: tuple) -> State:
         found = self.states.get(open_)
@@ -169,17 +186,15 @@ class Transducer:
         """What a byte does to the open tokens: the next state and what is emitted on the way."""
         if len(self.states) > self.max_states:
             self.reset()
-        more, going, last, nodes = bytes([byte]), [], None, self.nodes
-        for read, before, waiting in open_:
-            read += more
-            node = nodes.get(read)
+        going, last = [], None
+        for node, before, waiting in open_:
+            node = node.following.get(byte)
             if node is None:
                 continue
-            token, goes_on = node
-            if last is None and token is not None and self.agree(before, token):
-                last = (b"", token, (*waiting, token))
-            if goes_on:
-                going.append((read, before, waiting))
+            if last is None and node.token is not None and self.agree(before, node.token):
+                last = (self.top, node.token, (*waiting, node.token))
+            if node.following:
+                going.append((node, before, waiting))
         if last is None:
             raise ValueError(f"no token ends after byte {byte}: the vocabulary lacks single bytes")
         going.append(last)
@@ -189,7 +204,7 @@ class Transducer:
         while shared < len(least) and least[shared] == most[shared]:
             shared += 1
         if shared:
-            going = [(read, before, waiting[shared:]) for read, before, waiting in going]
+            going = [(node, before, waiting[shared:]) for node, before, waiting in going]
         return self.state(tuple(going)), least[:shared]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -206,6 +221,15 @@ class Transducer:
         return out
 
 
+def is_narrow(text: str) -> bool:
+    """Whether all characters are among the first 256."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Splitter:
     """Cuts texts into pieces by the pattern.
 
@@ -223,15 +247,17 @@ class Splitter:
         self.unit = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if pattern == KNOWN_PATTERN else r"(?s).+")
 
     def units(self, text: str) -> Iterator[list[str]]:
+        """A text's units; a text of the first 256 characters only falls into its pieces at once."""
+        pattern = self.narrow if self.narrow and is_narrow(text) else self.unit
         if len(text) <= CHUNK:
-            yield self.unit.findall(text)
+            yield pattern.findall(text)
             return
-        found = self.unit.finditer(text)
+        found = pattern.finditer(text)
         while part := [m.group() for m in islice(found, CHUNK >> 3)]:
             yield part
 
     def pieces(self, unit: str) -> list[str]:
-        if self.narrow and max(unit) < "\u0100":
+        if self.narrow and is_narrow(unit):
             return self.narrow.findall(unit)
         return (self.unusual if self.later.search(unit) else self.usual).findall(unit)
 
@@ -313,6 +339,7 @@ class StreamDecoder:
         self.tokens, self.machine = tokens, utf8_machine()
         self.moves: dict[bytes, dict[int, tuple[str, bytes]]] = {}
         self.pending = b""  # bytes of an unfinished character
+        self.steady = {token: text for token in tokens for text, left in [self.read(b"", token)] if not left}
 
     def read(self, pending: bytes, token: int) -> tuple[str, bytes]:
         out, held, state = [], b"", 0
@@ -350,8 +377,12 @@ class StreamDecoder:
         left, self.pending = self.pending, b""
         return self.REPLACEMENT if left else ""
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.feed(ids)) + self.finish()
+    def decode(self, ids: list[int]) -> str:
+        """A whole sequence. Where each token, read between characters, ends between characters, its text is known at once."""
+        texts = list(map(self.steady.get, ids))
+        if None in texts:
+            return "".join(self.feed(ids)) + self.finish()
+        return "".join(texts)
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -377,6 +408,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     """(doc_id, ids): every whole text's tokens. ``path`` names a file of ranks that all executors can open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # hundreds of thousands of kept states, which a collection would walk through again and again
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary_path(path), split_pattern(pattern))
         for batch in batches:
             names: list = []
