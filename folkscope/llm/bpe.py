@@ -42,9 +42,9 @@ from folkscope.llm.registry import read_table, register
 from folkscope.llm.tokens import gathered
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 3 << 16  # of the transducer; beyond it, it starts anew
+MAX_STATES = 5 << 15  # of the transducer; beyond it, it starts anew
 MAX_PAIRS = 1 << 18
-CACHE_UNITS = 1 << 19
+CACHE_UNITS = 3 << 17
 CACHE_CHARS = 1 << 23
 CHUNK = 1 << 20  # characters; longer texts are cut into pieces some at a time
 FLUSH_IDS = 1 << 20
@@ -404,65 +404,67 @@ def split_pattern(pattern: str | None) -> str:
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids): every whole text's tokens. ``path`` names a file of ranks that all executors can open."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # hundreds of thousands of kept states, which a collection would walk through again and again
-        try:
-            yield from encoded(batches)
-        finally:
-            gc.enable()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str | None) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) as batches of (doc_id, ids), of bounded size whatever the texts."""
+    gc.disable()  # hundreds of thousands of kept states, which a collection would walk through again and again
+    try:
         encoder = Encoder(vocabulary_path(path), split_pattern(pattern))
         for batch in batches:
             names: list = []
             parts: list[np.ndarray] = []
             size = 0
-
-            def flush() -> pa.RecordBatch:
-                bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts).astype(np.int32)))
-                return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), ids], schema=IDS)
-
-            for doc_id, text in zip(*batch.columns, strict=True):
+            for k, (doc_id, text) in enumerate(zip(*batch.columns, strict=True), 1):
                 names.append(doc_id.as_py())
                 parts.append(encoder.encode(text.as_py() or ""))
                 size += len(parts[-1])
-                if size >= FLUSH_IDS:
-                    yield flush()
+                if size >= FLUSH_IDS or k == batch.num_rows:
+                    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), ids], schema=IDS)
                     names, parts, size = [], [], 0
-            if names:
-                yield flush()
+    finally:
+        gc.enable()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
+def decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, ids) with the text of the ids."""
+    decoder = StreamDecoder({rank: token for token, rank in read_ranks(vocabulary_path(path)).items()})
+    for batch in batches:
+        lists = batch.column(1)
+        texts, begin, size = [], 0, 0
+        for k, ids in enumerate(lists, 1):
+            texts.append(decoder.decode(ids.values.to_numpy(zero_copy_only=True).tolist() if ids.is_valid else []))
+            size += len(texts[-1])
+            if size >= FLUSH_IDS or k == len(lists):
+                part = batch.slice(begin, k - begin)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                texts, begin, size = [], k, 0
 
-def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of ``encoded`` (doc_id, ids) with ``text``, decoded token by token."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = StreamDecoder({rank: token for token, rank in read_ranks(vocabulary_path(path)).items()})
-        for batch in batches:
-            lists = batch.column(1)
-            texts, begin, size = [], 0, 0
-            for k, ids in enumerate(lists):
-                texts.append(decoder.decode(ids.values.to_numpy(zero_copy_only=True).tolist() if ids.is_valid else []))
-                size += len(texts[-1])
-                if size >= FLUSH_IDS or k + 1 == len(lists):
-                    part = batch.slice(begin, k + 1 - begin)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
-                    texts, begin, size = [], k + 1, 0
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids): every whole text's tokens. ``path`` names a file of ranks that all executors can open."""
+    columns = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(*columns).mapInArrow(lambda batches: encoded(batches, path, pattern), "doc_id long, ids array<int>")
+
+
+def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``coded`` (doc_id, ids) with ``text``, decoded token by token."""
+
+    columns = "doc_id long, ids array<int>, text string"
+    return coded.select("doc_id", "ids").mapInArrow(lambda batches: decoded(batches, path), columns)
+
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids, text): every whole text's tokens and what these decode to, in one pass of one worker per task."""
+    columns = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    both = "doc_id long, ids array<int>, text string"
+    return docs.select(*columns).mapInArrow(lambda batches: decoded(encoded(batches, path, pattern), path), both)
 
 
 @register("op11_byte_bpe")
 def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Number and digest of every document's ids, and digest of what they decode to."""
-    coded = decode_documents(encode_documents(read_table(spark, folder, "documents")))
-    return coded.select(
+    return round_trip(read_table(spark, folder, "documents")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -104,6 +104,7 @@ def test_rows_of_any_kind(spark, library, tmp_path):
     got = sorted(((r["doc_id"], r["ids"], r["text"]) for r in coded.collect()), key=repr)
     want = sorted(((d, library.encode_ordinary(t or ""), t or "") for d, t, _, _ in rows), key=repr)
     assert got == want
+    assert sorted(map(tuple, B.round_trip(frame).collect()), key=repr) == want
     frame.write.parquet(str(tmp_path / "documents.parquet"))
     found = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in B.op11_byte_bpe(spark, str(tmp_path)).collect()}
 
