@@ -40,7 +40,6 @@ CANDIDATE_ROWS = 16_384  # of one chunk in a task
 QUERY_ROWS = 64
 EXACT_FLOAT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-WHOLE = np.vectorize(int, otypes=[object])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -66,6 +65,15 @@ def integers(rows: list, width: int, scale: int) -> np.ndarray:
     return out
 
 
+def whole(vectors: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python's integers."""
+    if vectors.dtype == object:
+        return vectors
+    out = np.empty(vectors.shape, object)
+    out[...] = [[int(v) for v in row] for row in vectors.tolist()]
+    return out
+
+
 class Block:
     """Queries with their running thresholds; finds in a chunk of candidates what may be in the top k."""
 
@@ -85,7 +93,7 @@ class Block:
         if not len(ids):
             return
         if vectors.dtype != self.vectors.dtype:  # one side needs Python's integers, so both take them
-            vectors, self.vectors = (v if v.dtype == object else WHOLE(v) for v in (vectors, self.vectors))
+            vectors, self.vectors = whole(vectors), whole(self.vectors)
         columns = np.ascontiguousarray(vectors.T)  # vertical: a dimension's numbers lie together
         if vectors.dtype == object:  # no bounds in floating point there
             for q, vector in enumerate(self.vectors):

@@ -44,6 +44,14 @@ def test_large_numbers(spark):
     assert mine(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("far", [1e6, 1e9, 1e300])
+def test_large_candidates_of_ordinary_queries(spark, far):
+    rows = [(20, [1.0, 2.0]), (1, [far, 0.0]), (2, [0.5, 0.0])]
+    for _ in range(2):  # what one call leaves behind must not reach the next
+        assert mine(spark, rows) == brute(rows)
+        assert mine(spark, rows[:1] + rows[2:]) == brute(rows[:1] + rows[2:])
+
+
 def test_few_rows(spark):
     assert mine(spark, []) == []
     assert mine(spark, [(20, [1.0])]) == []
