@@ -30,6 +30,7 @@ INTERCEPT = "(Intercept)"
 TERMS = "array<struct<i int, x double>>"
 ALIAS_TOLERANCE = 1e-9  # what is left of a term's length, as a share, below which it is a sum of earlier ones
 MAX_STEPS = 60
+MAX_LEVELS = 2_000  # of all text predictors together in a design whose products of terms reach the driver
 SEPARATED_LINK = 25.0  # a fitted log-odds beyond this is a share of 0 or 1
 
 
@@ -142,7 +143,9 @@ def design(df: DataFrame, predictors: list[str]) -> Design:
     levels: dict[str, list[str]] = {p: [] for p in text}
     if text:
         pairs = F.array(*[F.struct(F.lit(p).alias("c"), F.col(p).alias("v")) for p in text])
-        found = df.dropna(subset=predictors).select(F.explode(pairs).alias("p")).select("p.c", "p.v").distinct().collect()
+        found = df.dropna(subset=predictors).select(F.explode(pairs).alias("p")).select("p.c", "p.v").distinct().limit(MAX_LEVELS + 1).collect()
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"more than {MAX_LEVELS} levels: factors.fit_factor keeps a factor's levels as a table")
         for row in found:
             levels[row.c].append(row.v)
     return Design(list(predictors), {p: sorted(v) for p, v in levels.items()}, [p for p in predictors if p not in text])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folkscope.fixed_values import INFLUENTIAL_ROWS, RESIDUAL_BAND
-from folkscope.operators import diagnostics, inference, models
+from folkscope.operators import diagnostics, factors, inference, models
 from folkscope.plans import culture
 from folkscope.plans.films import country_content
 from folkscope.queries.analogs import GENRES, MATURE_SQL, YEAR, countries, films, scores
@@ -265,8 +265,8 @@ def glm_many_levels(spark, folder):
     part = table(spark, folder, "part").select("p_partkey", F.col("p_type").isin(GENRES).cast("int").alias("mature"))
     lines = table(spark, folder, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("supplier"))
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("mature", "supplier")
-    fitted = models.fit_bernoulli(rows, "mature", ["supplier"])
-    return _rounded(models.coefficient_table(spark, fitted).select("term", "estimate"), {"estimate": 5})
+    fitted = factors.fit_factor(rows, "mature", 1 - F.col("mature"), "supplier")
+    return _rounded(factors.factor_table(fitted).select("term", "estimate"), {"estimate": 5})
 
 
 @query(
