@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,21 @@ def profile_schema(df: DataFrame) -> DataFrame:
     return fields.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
+AGGREGATES = 16  # of one pass; the code of many more is too large to be compiled, and runs many times slower
+
+
 def column_stats(df: DataFrame, columns: list[str], statistics: dict[str, callable]) -> DataFrame:
-    """All statistics of all columns from one pass, then one row per column."""
-    one_row = df.agg(
-        *[F.struct(*[fn(c).alias(name) for name, fn in statistics.items()]).alias(c) for c in columns]
-    )
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in columns])
-    return one_row.select(F.explode(rows).alias("r")).select("r.feature", "r.s.*")
+    """All statistics of all columns, one row per column: a pass over some columns at a time, which reads those alone."""
+
+    def some(part: list[str]) -> DataFrame:
+        one_row = df.select(*part).agg(
+            *[F.struct(*[fn(c).alias(name) for name, fn in statistics.items()]).alias(c) for c in part]
+        )
+        rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in part])
+        return one_row.select(F.explode(rows).alias("r")).select("r.feature", "r.s.*")
+
+    width = max(1, AGGREGATES // len(statistics))
+    return reduce(DataFrame.unionByName, [some(columns[k : k + width]) for k in range(0, len(columns), width)])
 
 
 def with_quantiles(stats: DataFrame, df: DataFrame, columns: list[str], names: dict[float, str]) -> DataFrame:
@@ -94,11 +104,14 @@ def profile_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows per (column, value as text); equal values are counted before the shuffle."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
-    return (
-        df.select(F.explode(cells).alias("c")).groupBy("c.feature", "c.value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Rows per (column, value as text): one pass per column that reads it alone; equal values are counted before
+    the shuffle, and only distinct ones become text."""
+
+    def of(c: str) -> DataFrame:
+        counted = df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        return counted.select(F.lit(c).alias("feature"), F.col("value").cast("string").alias("value"), "n")
+
+    return reduce(DataFrame.unionByName, map(of, columns))
 
 
 def profile_top_values(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:

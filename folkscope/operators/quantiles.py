@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folkscope.session import materialise
+
 ACCURACY = 10_000
 DIRECT_LIMIT = 200_000
+SKETCH_SIZE = 8_192
+
+
+def rank_error(k: int) -> float:
+    """How far a rank from a KLL sketch of size k may be off, as a share of the rows, with 99 percent confidence."""
+    return 2.296 / k**0.9723
+
+
+def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles, NaN as null."""
+    return df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
 
 
 def exact_quantiles(
@@ -18,40 +34,53 @@ def exact_quantiles(
     probs: list[float],
     accuracy: int = ACCURACY,
     direct_limit: int = DIRECT_LIMIT,
+    sketch_size: int = SKETCH_SIZE,
 ) -> DataFrame:
     """Linearly interpolated quantiles as rows ``(feature, prob, value)``; nulls and NaN are ignored.
 
     ``percentile`` keeps every distinct value of a column in one buffer, which
-    does not hold for a large continuous column. Here one mergeable sketch over all rows
-    of all columns brackets every wanted rank: its rank error is at most one part in
-    ``accuracy``, so ends twice as far away hold the rank, and four parts in ``accuracy`` of
-    the rows lie between them. One more pass counts the rows below and inside. A bracket
-    that still holds more than ``direct_limit`` rows between its ends is sketched again by
-    itself, until none does: each round leaves less than a thousandth, so three passes
-    are enough for ten thousand times the limit and five for any table. Then the few
-    rows left are ranked. Every pass but the last is a one-row aggregate over the pruned
-    columns; only counts and bracket ends pass through the driver.
+    does not hold for a large continuous column. Here one mergeable KLL sketch per column,
+    all from one pass, brackets every wanted rank by ends twice its error away. One more
+    pass counts the rows below and on the ends of the brackets, and the values between them
+    with their frequencies, of which few are left. Where a bracket holds more than
+    ``direct_limit`` rows, as in very large tables, values are not picked yet: it is
+    sketched again by itself and counted again, until none does; each round leaves less than a
+    hundredth. A sketch that missed a rank, as it may, is seen in the counts and searched
+    again in a wider bracket. Only counts and bracket ends pass through the driver.
     """
-    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    wanted, brackets = _first_brackets(values, columns, probs, accuracy)
-    heavy = _count_rows(values, wanted, brackets, {key: b["n"] for key, b in brackets.items()}, direct_limit)
+    values = numbers(df, columns)
+    wanted, brackets = _first_brackets(values, columns, probs, sketch_size)
+    for b in brackets.values():
+        b["expected"] = b["n"] * 4 * rank_error(sketch_size)
+    counts, picked = _count_cells(values, brackets, direct_limit)
+    heavy = _place(counts, wanted, brackets, set(brackets), direct_limit)
+    again = heavy
     while heavy:
         before = {key: (brackets[key]["lo"], brackets[key]["hi"]) for key in heavy}
         _close_in(values, wanted, brackets, heavy, accuracy)
+        for key, n in heavy.items():
+            brackets[key]["expected"] = n * 8 / accuracy
         # Ends stand still only around a few rows, fewer than a sketch tells apart; those are ranked.
-        moved = {key: n for key, n in heavy.items() if before[key] != (brackets[key]["lo"], brackets[key]["hi"])}
-        heavy = _count_rows(values, wanted, brackets, moved, direct_limit)
-    return _rank_inside(values, wanted, brackets)
+        moved = {key for key in heavy if before[key] != (brackets[key]["lo"], brackets[key]["hi"])}
+        if not moved:
+            break
+        counts, picked = _count_cells(values, brackets, direct_limit)
+        heavy = _place(counts, wanted, brackets, moved, direct_limit)
+    if again or picked != set(brackets):
+        counts, _ = _count_cells(values, brackets, None)
+    return _rank_inside(counts, wanted, brackets)
 
 
-def _first_brackets(values, columns, probs, accuracy):
+def _first_brackets(values, columns, probs, sketch_size):
     """Wanted 0-based ranks per (column, prob), and the bracket of each from a sketch over all rows."""
-    margin = 2.0 / accuracy
+    margin = 2.0 * rank_error(sketch_size)
     ends = [min(max(x, 0.0), 1.0) for p in probs for x in (p - margin, p + margin)]
-    cells = [
-        F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.percentile_approx(c, ends, accuracy).alias("ends")).alias(c)
-        for c in columns
-    ]
+    shares = F.array(*map(F.lit, ends))
+    cells = []
+    for c in columns:
+        sketch = F.kll_sketch_agg_double(c, F.lit(sketch_size))
+        asked = F.when(F.count(c) > 0, F.kll_sketch_get_quantile_double(sketch, shares))
+        cells.append(F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), asked.alias("ends")).alias(c))
     stats = values.agg(*cells).first()
     wanted, brackets = {}, {}
     for c in columns:
@@ -101,84 +130,117 @@ def _edges(brackets, keys) -> dict[str, list[float]]:
     return {c: sorted(e) for c, e in ends.items()}
 
 
-def _cell(column: str, edges: list[float]) -> Column:
-    """Where a value lies among the edges: 2 j + 1 on edge j, 2 j before it; null for null."""
-    value = F.col(column)
-    ladder = F.when(value.isNull(), None)
-    for j, edge in enumerate(edges):
-        ladder = ladder.when(value < edge, 2 * j).when(value == edge, 2 * j + 1)
-    return ladder.otherwise(2 * len(edges))
+def cell_counts(values: DataFrame, edges: dict[str, list[float]], picked: dict[str, set[int]]) -> DataFrame:
+    """(c, cell, v, n): how many values of column number c lie where among its edges, as cells: 2 j + 1 on edge j, 2 j before it.
+
+    Values of picked cells are counted each by itself. Edges are searched by bisection, a
+    batch of rows at a time; a task adds up its batches, so few rows leave it.
+    """
+    columns = list(edges)
+    steps = [np.array(edges[c], float) for c in columns]
+    chosen = [np.array(sorted(picked.get(c, ())), np.int64) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(2 * len(e) + 1, np.int64) for e in steps]
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                place = np.searchsorted(steps[k], x)
+                cell = 2 * place + (steps[k][np.minimum(place, len(steps[k]) - 1)] == x)
+                if len(chosen[k]):
+                    apart = np.isin(cell, chosen[k])
+                    found, n = np.unique(x[apart], return_counts=True)
+                    at = np.searchsorted(steps[k], found)
+                    at = 2 * at + (steps[k][np.minimum(at, len(steps[k]) - 1)] == found)
+                    if len(found):
+                        yield rows_of(k, at, pa.array(found), n)
+                    cell = cell[~apart]
+                totals[k] += np.bincount(cell, minlength=len(totals[k]))
+        for k, n in enumerate(totals):
+            at = np.flatnonzero(n)
+            yield rows_of(k, at, pa.nulls(len(at), pa.float64()), n[at])
+
+    def rows_of(k: int, cell: np.ndarray, v: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(cell), k, np.int32)), pa.array(cell.astype(np.int32)), v, pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["c", "cell", "v", "n"])
+
+    counted = values.select(*columns).mapInArrow(run, "c int, cell int, v double, n long")
+    return counted.groupBy("c", "cell", "v").agg(F.sum("n").alias("n"))
+
+
+def _inside(ends: list[float], b: dict) -> range:
+    """The cells from a bracket's lower end to its upper one."""
+    return range(2 * ends.index(b["lo"]) + 1, 2 * ends.index(b["hi"]) + 2)
+
 
+def _count_cells(values, brackets, direct_limit) -> tuple[DataFrame, set]:
+    """Counts by cell of all columns, written, with single values inside the brackets that are expected to hold few."""
+    edges = _edges(brackets, brackets)
+    picked, keys = {}, set()
+    for key, b in brackets.items():
+        if direct_limit is None or b["expected"] <= direct_limit or b["lo"] == b["hi"]:
+            keys.add(key)
+            picked.setdefault(key[0], set()).update(c for c in _inside(edges[key[0]], b) if c % 2 == 0)
+    return materialise(cell_counts(values, edges, picked), "cells"), keys
 
-def _count_rows(values, wanted, brackets, moved, direct_limit) -> dict[tuple, int]:
-    """Count all rows below and inside the moved brackets; return those that still hold too many.
 
-    Every value is placed among the ends of its column's brackets, and places are counted
-    with partial sums. Only rows strictly between the ends of a bracket count as too many:
-    each end is one value and will be one row, whatever its frequency.
+def _place(counts, wanted, brackets, moved, direct_limit) -> dict[tuple, int]:
+    """Rows below and inside the moved brackets; returns those that still hold too many, or missed their rank.
+
+    Only rows strictly between the ends of a bracket count as too many: each end is one
+    value and will be one row, whatever its frequency.
     """
-    if not moved:
-        return {}
-    edges = _edges(brackets, moved)
-    places = F.array(*[F.struct(F.lit(c).alias("c"), _cell(c, e).alias("cell")) for c, e in edges.items()])
-    found = values.select(F.explode(places).alias("p")).select("p.*").groupBy("c", "cell").count().collect()
-    counts = {c: [0] * (2 * len(e) + 1) for c, e in edges.items()}
-    for row in found:
-        if row.cell is not None:
-            counts[row.c][row.cell] = row["count"]
+    edges = _edges(brackets, brackets)
+    numbered = dict(enumerate(edges))
+    cells = {c: [0] * (2 * len(e) + 1) for c, e in edges.items()}
+    for row in counts.groupBy("c", "cell").agg(F.sum("n").alias("n")).collect():
+        cells[numbered[row.c]][row.cell] = row.n
     heavy = {}
     for key in moved:
         b, (low_rank, high_rank, _) = brackets[key], wanted[key]
-        column, ends = counts[key[0]], edges[key[0]]
-        first, last = 2 * ends.index(b["lo"]) + 1, 2 * ends.index(b["hi"]) + 1
-        b["below"], inside = sum(column[:first]), sum(column[first : last + 1])
+        column, span = cells[key[0]], _inside(edges[key[0]], b)
+        b["below"], inside = sum(column[: span.start]), sum(column[span.start : span.stop])
         if b["below"] > low_rank or b["below"] + inside <= high_rank:
             b["lo"], b["hi"] = b["whole"]
             b["below"], heavy[key] = 0, b["n"]
             b["misses"] += 1
-        elif sum(column[first + 1 : last]) > direct_limit:
+        elif sum(column[span.start + 1 : span.stop - 1]) > direct_limit:
             heavy[key] = inside
     return heavy
 
 
-def _rank_inside(values, wanted, brackets) -> DataFrame:
+def _rank_inside(counts, wanted, brackets) -> DataFrame:
     """Rank the distinct values inside the brackets and read off the wanted ranks.
 
     A bracket that has closed on one value needs no ranking. Brackets of one column
-    that coincide are ranked once. Equal values are counted before the shuffle, so a
-    value that fills a third of the table is one row.
+    that coincide are ranked once. Equal values are counted already, so a value that
+    fills a third of the table is one row.
     """
-    spark = values.sparkSession
+    spark, edges = counts.sparkSession, _edges(brackets, brackets)
+    numbered = {c: k for k, c in enumerate(edges)}
     slots: dict[tuple, int] = {}
-    known, lookups = [], []
+    known, lookups, spans, ends = [], [], [], []
     for (c, p), b in brackets.items():
         low_rank, high_rank, fraction = wanted[c, p]
         if b["lo"] == b["hi"]:
             known.append((c, float(p), float(b["lo"])))
             continue
-        slot = slots.setdefault((c, b["lo"], b["hi"]), len(slots))
-        lookups.append((slot, c, float(p), low_rank - b["below"], high_rank - b["below"], float(fraction)))
+        if (c, b["lo"], b["hi"]) not in slots:
+            slots[c, b["lo"], b["hi"]] = len(slots)
+            inside = _inside(edges[c], b)
+            spans.append((slots[c, b["lo"], b["hi"]], numbered[c], inside.start, inside.stop - 1))
+        lookups.append((slots[c, b["lo"], b["hi"]], c, float(p), low_rank - b["below"], high_rank - b["below"], float(fraction)))
     found = spark.createDataFrame(known, "feature string, prob double, value double")
     if not lookups:
         return found
     schema = "slot int, feature string, prob double, low_rank long, high_rank long, fraction double"
     lookup = spark.createDataFrame(lookups, schema)
-    edges = _edges(brackets, [key for key, b in brackets.items() if b["lo"] != b["hi"]])
-    members = []
-    for c, ends in edges.items():
-        inside = set()
-        for of, lo, hi in slots:
-            if of == c:
-                inside |= set(range(2 * ends.index(lo) + 1, 2 * ends.index(hi) + 2))
-        members.append(F.when(_cell(c, ends).isin(sorted(inside)), F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))))
-    runs = (
-        values.select(F.explode(F.array(*members)).alias("m"))
-        .filter("m IS NOT NULL")
-        .groupBy("m.c", "m.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    spans = spark.createDataFrame([(slot, c, float(lo), float(hi)) for (c, lo, hi), slot in slots.items()], "slot int, of string, lo double, hi double")
-    runs = runs.join(spans, (F.col("c") == F.col("of")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    for c, steps in edges.items():
+        ends += [(numbered[c], 2 * j + 1, float(e)) for j, e in enumerate(steps)]
+    on_edge = spark.createDataFrame(ends, "c int, cell int, edge double")
+    runs = counts.join(on_edge, ["c", "cell"], "left").select("c", "cell", F.coalesce("v", "edge").alias("v"), "n")
+    span = spark.createDataFrame(spans, "slot int, of int, first_cell int, last_cell int")
+    runs = runs.join(span, (F.col("c") == F.col("of")) & F.col("cell").between(F.col("first_cell"), F.col("last_cell")))
     upto = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = runs.withColumn("last", F.sum("n").over(upto) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
 
@@ -186,9 +248,24 @@ def _rank_inside(values, wanted, brackets) -> DataFrame:
         return (F.col("first") <= F.col(rank)) & (F.col(rank) <= F.col("last"))
 
     hits = ranked.join(lookup, "slot").filter(covers("low_rank") | covers("high_rank"))
-    ends = hits.groupBy("feature", "prob", "fraction").agg(
+    pairs = hits.groupBy("feature", "prob", "fraction").agg(
         F.max(F.when(covers("low_rank"), F.col("v"))).alias("a"),
         F.max(F.when(covers("high_rank"), F.col("v"))).alias("b"),
     )
     value = (F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction")).alias("value")
-    return ends.select("feature", "prob", value).unionByName(found)
+    return pairs.select("feature", "prob", value).unionByName(found)
+
+
+def exact_ranks(df: DataFrame, wanted: dict[str, list[float]]) -> DataFrame:
+    """(feature, value, below, upto): how many rows lie below each given value, and how many up to it; one pass."""
+    edges = {c: sorted(set(v)) for c, v in wanted.items()}
+    spark = df.sparkSession
+    counts = cell_counts(numbers(df, list(edges)), edges, {})
+    numbered = [(k, c, 2 * j + 1, float(e)) for k, (c, steps) in enumerate(edges.items()) for j, e in enumerate(steps)]
+    asked = spark.createDataFrame(numbered, "of int, feature string, edge int, value double")
+    # Counts are at most two rows per given value and column, so every value meets all cells of its column.
+    met = asked.join(counts, F.col("c") == F.col("of"), "left").groupBy("feature", "value")
+    return met.agg(
+        F.coalesce(F.sum(F.when(F.col("cell") < F.col("edge"), F.col("n"))), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(F.col("cell") <= F.col("edge"), F.col("n"))), F.lit(0)).alias("upto"),
+    )
