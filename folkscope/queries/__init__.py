@@ -7,6 +7,7 @@ from folkscope.queries import (  # noqa: E402,F401  (importing registers)
     columns,
     factors,
     filters,
+    formulas,
     joins,
     models,
     profiles,
