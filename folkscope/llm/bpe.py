@@ -42,9 +42,9 @@ from folkscope.llm.registry import read_table, register
 from folkscope.llm.tokens import gathered
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 5 << 15  # of the transducer; beyond it, it starts anew
-MAX_PAIRS = 1 << 18
-CACHE_UNITS = 3 << 17
+MAX_STATES = 1 << 18  # of the transducer; beyond it, it starts anew
+MAX_PAIRS = 1 << 19
+CACHE_UNITS = 3 << 18
 CACHE_CHARS = 1 << 23
 CHUNK = 1 << 20  # characters; longer texts are cut into pieces some at a time
 FLUSH_IDS = 1 << 20
