@@ -8,6 +8,7 @@ from folkscope.queries import (  # noqa: E402,F401  (importing registers)
     factors,
     filters,
     formulas,
+    frequent,
     inference,
     joins,
     models,

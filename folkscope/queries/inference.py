@@ -50,3 +50,20 @@ def src_csv_types(spark, folder):
     found = inference.read_csv_inferred(spark, path, dates=True)
     cells = [F.struct(F.lit(f.name).alias("feature"), F.lit(f.dataType.simpleString()).alias("type"), F.count(f.name).alias("n")) for f in found.schema]
     return found.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
+@query(
+    "sink_range_replace",
+    """WITH size AS (SELECT CAST(max(o_orderkey) AS BIGINT) // 6 + 1 AS s FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey // s = 2 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, (o_orderkey // s) * s AS range_start
+    FROM orders, size""",
+)
+def sink_range_replace(spark, folder):
+    """All ranges written, then one of them again with other values: it alone is replaced."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    size = orders.agg(F.max("o_orderkey")).first()[0] // 6 + 1
+    path = scratch_path(spark, "replaced")
+    delimited.write_id_ranges(orders, "o_orderkey", size, path, replace=True)
+    again = orders.where(F.floor(F.col("o_orderkey") / size) == 2).withColumn("o_totalprice", -F.col("o_totalprice"))
+    delimited.write_id_ranges(again, "o_orderkey", size, path, replace=True)
+    return delimited.read_ranges(spark, path, "o_orderkey long, o_totalprice double").drop("source_file")

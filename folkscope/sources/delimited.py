@@ -96,12 +96,17 @@ def range_size(df: DataFrame, id_col: str, rows_per_range: int = RANGE_ROWS) ->
     return 1 if low is None else max(1, -(-(high - low + 1) // ranges))
 
 
-def write_id_ranges(df: DataFrame, id_col: str, size: int, path: str, fmt: str = "csv") -> None:
+def write_id_ranges(df: DataFrame, id_col: str, size: int, path: str, fmt: str = "csv", replace: bool = False) -> None:
     """One folder per id range of the given size.
 
     Rows are range-partitioned by id first, so a task writes few folders and a
-    long range is spread over several tasks.
+    long range is spread over several tasks. ``replace``: a range that ``df`` has rows of
+    takes the place of its old folder as a whole when the job commits, all others stay;
+    without it a folder that exists stops the write.
     """
     start = (F.floor(F.col(id_col) / size) * size).cast("long")
     ranged = df.withColumn("range_start", start).repartitionByRange("range_start", id_col)
-    _csv_text(ranged.write.partitionBy("range_start")).option("nullValue", "NA").format(fmt).save(path)
+    writer = _csv_text(ranged.write.partitionBy("range_start")).option("nullValue", "NA").format(fmt)
+    if replace:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.save(path)
