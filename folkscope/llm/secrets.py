@@ -5,8 +5,8 @@ log10 guesses of its segments: dictionary words, dates, repeats, keyboard walks
 brute-force spans (Wheeler, "zxcvbn: low-budget password strength estimation", 2016).
 A value that no cheap cut explains is a secret.
 
-One pass over the documents without a shuffle. Work is linear in the text, and a value of
-any length is cut in time proportional to its length.
+One pass over the documents without a shuffle. Work is linear in the text. A value is cut
+in time proportional to its length, but for a logarithm where many of its spans repeat.
 
 Defined cases: a null or empty text has no spans; every row gives a row, also repeated
 ones; other columns are ignored.
@@ -123,6 +123,53 @@ def segments_from(value: str, words: dict[str, float], keys: dict[str, str]) ->
     return found
 
 
+class Repeats:
+    """How far a span of a text goes on repeating, by hashes of its beginnings and a search by halves.
+
+    The last run found is kept: within a run of period p every span of a multiple of p
+    goes on to the end of that run, so a long run is searched once.
+    """
+
+    MODULUS = (1 << 61) - 1
+    BASE = 0x1F3A5C7E9B2D4F61 % MODULUS
+
+    def __init__(self, value: str):
+        self.value = value
+        self.sums: list[int] = []
+        self.powers: list[int] = []
+        self.run = (0, 0, 1)  # begin, end, period
+
+    def same(self, a: int, b: int, size: int) -> bool:
+        if not self.sums:
+            self.sums, self.powers, total, power = [0], [1], 0, 1
+            for c in self.value:
+                total, power = (total * self.BASE + ord(c) + 1) % self.MODULUS, power * self.BASE % self.MODULUS
+                self.sums.append(total)
+                self.powers.append(power)
+        sums, scale = self.sums, self.powers[size]
+        return (sums[a + size] - sums[a] * scale - sums[b + size] + sums[b] * scale) % self.MODULUS == 0
+
+    def times_after(self, begin: int, end: int) -> int:
+        """How often value[begin:end] follows itself from ``end`` on."""
+        value, unit = self.value, end - begin
+        if end + unit > len(value) or value[begin] != value[end]:
+            return 0
+        run_begin, run_end, period = self.run
+        if not (run_begin <= begin and end <= run_end and unit % period == 0):
+            if not self.same(begin, end, unit):
+                return 0
+            low, high = unit, len(value) - end  # the length on which the text agrees with itself, moved by unit
+            while low < high:
+                middle = (low + high + 1) // 2
+                if self.same(begin, end, middle):
+                    low = middle
+                else:
+                    high = middle - 1
+            self.run = begin, end + low, unit
+            run_end = end + low
+        return (run_end - end) // unit
+
+
 def guess_cost(value: str, words: dict[str, float], keys: dict[str, str]) -> tuple[float, list[tuple[int, int, str]]]:
     """The least log10 guesses over all segmentations, and the cut that has it.
 
@@ -142,6 +189,7 @@ def guess_cost(value: str, words: dict[str, float], keys: dict[str, str]) -> tup
     starts = segments_from(value, words, keys)
     best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
     brute, brute_from = math.inf, 0
+    repeats = Repeats(value)
     for i in range(n):
         here = best[i] + (LOG_SEGMENT if i else 0)
         if here < brute:
@@ -154,12 +202,8 @@ def guess_cost(value: str, words: dict[str, float], keys: dict[str, str]) -> tup
                 best[end], back[end] = here + cost, (i, kind)
         # A repeat: what ends at i once more, as often as it goes on.
         begin, kind = back[i]
-        unit = value[begin:i]
-        if unit and value.startswith(unit, i):
-            times, end = 2, i + len(unit)
-            while value.startswith(unit, end):
-                times, end = times + 1, end + len(unit)
-            cost = best[i] + math.log10(times)
+        if i and (times := repeats.times_after(begin, i)):
+            cost, end = best[i] + math.log10(times + 1), i + times * (i - begin)
             if cost < best[end]:
                 best[end], back[end] = cost, (begin, "repeat")
         elif i and value[i] == value[i - 1] and (i < 2 or value[i - 2] != value[i]):  # a repeated character
@@ -189,13 +233,19 @@ def base_spans(text: str, lower: bytes) -> list[tuple[int, str, int]]:
 
 
 def guess_spans(text: str, lower: bytes, taken: list, words, keys, threshold: float) -> list[tuple[int, str, int, float]]:
-    """Costly values in a credential context, apart from those that lie within a span already found."""
-    found = []
+    """Costly values in a credential context, apart from those that lie within a span already found.
+
+    Contexts come in the order of the text, so one pass over the spans by start knows how far
+    those that begin before a value reach.
+    """
+    found, before, at, reach = [], sorted((a, b) for a, _, b in taken), 0, -1
     if any(hint in lower for hint in CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
             start, value = m.start(1), m[1].rstrip(".,;:!?)]}")
             end = start + len(value)
-            if len(value) < 6 or any(a <= start and end <= b for a, _, b in taken):
+            while at < len(before) and before[at][0] <= start:
+                reach, at = max(reach, before[at][1]), at + 1
+            if len(value) < 6 or end <= reach:
                 continue
             cost, _ = guess_cost(value, words, keys)
             if cost >= threshold:
@@ -259,7 +309,7 @@ def joined(spans) -> F.Column:
 
 @register("op1_secret_scan")
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts, base digest and all spans of every document."""
+    """Counts, base digest, all spans and the greatest guess cost among them (null without spans), per document."""
     found = scan_secrets(read_table(spark, folder, "documents"))
     base = F.filter("found", lambda s: s["kind"] != "guess")
     return found.select(
@@ -267,6 +317,7 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
         "n_guess",
+        F.array_max(F.transform("found", lambda s: s["log10_guesses"])).alias("max_log10_guesses"),
     )
 
 

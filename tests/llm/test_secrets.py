@@ -95,3 +95,58 @@ def test_context_search_is_linear():
     for text in ("password" * 20_000, "secret_" * 20_000, "token " * 20_000, "key" + " " * 100_000, "password" + "\t" * 100_000):
         assert not S.CONTEXT.search(text)
     assert time.perf_counter() - start < 5
+
+
+def test_repeats_are_those_of_plain_counting():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3_000):
+        value = "".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) * rng.randint(1, 8) + "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+        repeats = S.Repeats(value)
+        for end in range(1, len(value)):
+            for begin in {0, end - 1, rng.randrange(end), max(0, end - 2)}:
+                unit, at, times = value[begin:end], end, 0
+                while value.startswith(unit, at):
+                    times, at = times + 1, at + len(unit)
+                assert repeats.times_after(begin, end) == times, (value, begin, end)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    words, keys = rules()
+    text = "password=abcdef1 " * 60_000
+    start = time.perf_counter()
+    base = S.base_spans(text, text.encode().lower())
+    assert len(base) == 60_000
+    assert not S.guess_spans(text, text.encode().lower(), base, words, keys, S.SECRET_LOG10_GUESSES)
+    assert time.perf_counter() - start < 5
+    seconds = []
+    for size in (100_000, 400_000):
+        start = time.perf_counter()
+        cost, _ = S.guess_cost("ab" * (size // 2), words, keys)
+        seconds.append(time.perf_counter() - start)
+        assert cost < 12
+    assert seconds[1] < 8 * seconds[0] + 1
+    start = time.perf_counter()
+    S.guess_cost("".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(200_000)), words, keys)
+    assert time.perf_counter() - start < 10
+
+
+def test_values_within_a_span_are_not_added_again():
+    """Against the plain test of every value against every span."""
+    words, keys = rules()
+    text = " ".join(f"token='zX9!kQ#{i}vLm$wTr' pwd: 'zX9!kQ#2{i}Lm$wTr' secret=abcdef{i}" for i in range(300))
+    base = S.base_spans(text, text.encode().lower())
+    found = S.guess_spans(text, text.encode().lower(), base, words, keys, 10.0)
+    loose = S.guess_spans(text, text.encode().lower(), [], words, keys, 10.0)
+    assert found == [s for s in loose if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
+    assert 300 <= len(found)
+
+
+def test_query_gives_the_cost_of_base_spans_too(spark, tmp_path):
+    rows = [(1, "password=zX9kQ27vLmwTr"), (2, "plain"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.max_log10_guesses for r in S.op1_secret_scan(spark, str(tmp_path)).collect()}
+    assert out[1] > 10 and out[2] is None and out[3] is None
