@@ -50,3 +50,32 @@ def test_query_on_an_empty_table(spark, tmp_path):
 def test_plan_has_no_python(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert "Python" not in C.format_chats(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_query_goes_through_the_machine(spark):
+    plan = C.op6_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(part in plan for part in ("state,", "allowed,", "unknown", "start"))
+
+
+def test_states_against_plain_stepping(spark):
+    import random
+
+    rng, template = random.Random(5), C.CHATML
+    orders = [[rng.choice(["system", "user", "assistant", "tool", "start", "unknown", "other"]) for _ in range(rng.randint(1, 6))] for _ in range(300)]
+    orders += [["user", "assistant"] * k + ["user"] for k in range(1, 5)]
+    rows = [(i, t, role, f"<|{t}") for i, roles in enumerate(orders) for t, role in enumerate(roles)]
+    out = formatted(spark, rows)
+    for i, roles in enumerate(orders):
+        state, good = "start", True
+        for role in roles:
+            good &= role in template.next_roles.get(state, ())
+            state = role if role != "start" else "unknown"
+        assert out[i].valid == (good and state in template.final), roles
+        assert [s.text for s in out[i].segments if s.loss] == [f"<\\|{t}" for t, role in enumerate(roles) if role == "assistant"]
+
+
+def test_a_long_conversation(spark):
+    turns = 20_000
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(turns)]
+    (row,) = formatted(spark, rows).values()
+    assert row.valid and len(row.back) == turns and sum(s.loss for s in row.segments) == turns // 2
