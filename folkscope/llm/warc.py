@@ -33,6 +33,7 @@ from folkscope.session import materialise, scratch_path
 
 FRAME_BYTES = 1 << 20  # plain bytes after which a frame is closed
 BUNDLE_BYTES = 1 << 28  # compressed bytes after which a bundle is closed
+TASK_FRAMES = 8  # frames that one task reads back
 ZSTD_LEVEL = 3
 DATE = "2025-01-01T00:00:00Z"  # the tables hold no time of capture
 
@@ -220,13 +221,16 @@ READ_ARROW = pa.schema([
 ])
 
 
-def read_bundles(index: DataFrame) -> DataFrame:
+def read_bundles(index: DataFrame, task_frames: int = TASK_FRAMES) -> DataFrame:
     """Every record that the index names, read from its frame; each frame is one unit of work.
 
-    A response's payload is checked against its digest. Fails on a record that is not where
-    the index says.
+    The index is small beside what it names, so the number of tasks is counted from its frames
+    and named: by the size of the index alone a few tasks would read everything. A response's
+    payload is checked against its digest. Fails on a record that is not where the index says.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("record_offset", "page_id")).alias("records"))
+    n_frames = index.select("bundle", "frame").distinct().count()
+    spread = index.repartition(max(1, -(-n_frames // task_frames)), "bundle", "frame")
+    frames = spread.groupBy("bundle", "frame").agg(F.collect_list(F.struct("record_offset", "page_id")).alias("records"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, name = None, None

@@ -52,6 +52,23 @@ def test_bundles_close_at_their_size_and_stay_plain_zstd(spark):
         assert seen == index.where(index.bundle == name).count()
 
 
+def test_frames_are_read_by_as_many_tasks_as_they_need(spark):
+    rows = [(i, "u", f"{i} " * 3000) for i in range(64)]
+    index = W.write_bundles(pages(spark, rows).coalesce(2), scratch_path(spark, "warc"), frame_bytes=20_000)
+    frames = index.select("bundle", "frame").distinct().count()
+    out = W.read_bundles(index, task_frames=4)
+    assert out.rdd.getNumPartitions() == -(-frames // 4) > 1
+    assert out.count() == 64
+
+
+def test_repeated_ids_with_equal_payloads_in_different_bundles(spark):
+    rows = [(7, "u", "twice"), (1, "u", "twice")] * 20
+    index = W.write_bundles(pages(spark, rows).repartition(8), scratch_path(spark, "warc"), frame_bytes=50, bundle_bytes=100)
+    assert index.select("bundle").distinct().count() > 1
+    out = W.read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, out), key=str) == want(rows)
+
+
 def test_a_damaged_frame_is_noticed(tmp_path):
     writer = W.BundleWriter(f"{tmp_path}/b.warc.zst")
     writer.add(W.record(1, "u", b"x" * 1000, None))
