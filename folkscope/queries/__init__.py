@@ -5,6 +5,7 @@ from folkscope.queries.registry import ORACLES, QUERIES
 from folkscope.queries import (  # noqa: E402,F401  (importing registers)
     aggregates,
     columns,
+    exactsums,
     factors,
     filters,
     formulas,
