@@ -1,5 +1,6 @@
 """Null, tie, skew and order cases of the operators against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -308,6 +309,47 @@ def test_kolmogorov_smirnov_against_brute_force(spark):
     assert profile.ks_normality(df, ["x"]).first().statistic == pytest.approx(distance, abs=1e-9)
 
 
+def test_kolmogorov_smirnov_of_many_columns_in_fixed_jobs(spark):
+    """Ties over several parts, missing values, a hot value and constant columns; as Spark's own test of one column."""
+    from pyspark.ml.stat import KolmogorovSmirnovTest
+
+    rng = np.random.default_rng(2)
+    n = 4_000
+    data = {
+        "a": rng.normal(size=n), "b": np.round(rng.gamma(2.0, size=n), 1), "c": np.where(rng.random(n) < 0.4, 3.0, rng.random(n)),
+        "d": rng.integers(0, 5, n).astype(float), "flat": np.full(n, 2.0), "none": np.full(n, np.nan), "far": np.where(rng.random(n) < 0.5, np.inf, 1.0),
+    }
+    rows = [tuple(float(data[c][i]) if (c != "a" or i % 7) else None for c in data) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        tracker = spark.sparkContext.statusTracker()
+        jobs = []
+        for columns in (["a", "b"], list(data)):
+            spark.sparkContext.setJobGroup(f"ks{len(columns)}", "")
+            out = {r.feature: r for r in profile.ks_normality(df, columns).collect()}
+            jobs.append(len(tracker.getJobIdsForGroup(f"ks{len(columns)}")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert jobs[0] == jobs[1]
+    assert set(out) == {"a", "b", "c", "d"}
+    for c in out:
+        values = df.select(c).dropna()
+        m = values.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).first()
+        own = np.sort([r[0] for r in values.collect()])
+        curve = np.array([0.5 * math.erfc(-(v - m.mean) / m.sd / math.sqrt(2)) for v in own])
+        k = len(own)
+        distance = max(np.max(np.arange(1, k + 1) / k - curve), np.max(curve - np.arange(k) / k))
+        assert out[c].statistic == pytest.approx(distance, abs=1e-12)
+        theirs = KolmogorovSmirnovTest.test(values, c, "norm", m.mean, m.sd).first()
+        assert (out[c].statistic, out[c].p_value) == pytest.approx((theirs.statistic, theirs.pValue), abs=1e-9)
+    assert profile.ks_normality(df.where("false"), ["a", "b"]).count() == 0
+
+
 def test_select_by_position(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
     assert missing.by_position(df, [1, 3]).columns == ["a", "c"]
