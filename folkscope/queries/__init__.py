@@ -12,6 +12,7 @@ from folkscope.queries import (  # noqa: E402,F401  (importing registers)
     frequent,
     inference,
     joins,
+    layouts,
     models,
     profiles,
     reshaping,
