@@ -81,12 +81,12 @@ def filter_not_null(spark, folder):
 
 @query(
     "dropna_any",
-    f"""WITH {RATED} SELECT * FROM (SELECT doc_id, nullif(lang, 'en') AS lang, quality FROM rated)
-    WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL""",
+    f"""WITH {RATED} SELECT * FROM (SELECT doc_id, text, nullif(lang, 'en') AS lang, source, n_chars, quality, toxic FROM rated)
+    WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL
+      AND quality IS NOT NULL AND toxic IS NOT NULL""",
 )
 def dropna_any(spark, folder):
-    rows = rated_documents(spark, folder).select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"), "quality")
-    return rows.dropna("any")
+    return rated_documents(spark, folder).withColumn("lang", F.nullif("lang", F.lit("en"))).dropna("any")
 
 
 @query(

@@ -71,12 +71,16 @@ def pivot_long(spark, folder):
     "melt_all_but",
     " UNION ALL ".join(
         f"SELECT l_extendedprice AS logit, '{n}' AS predictors, {e} AS predictor_value FROM lineitem"
-        for n, e in (("popularity", "l_tax"), ("vote_average", "l_quantity / 5"))
+        for n, e in (
+            ("popularity", "l_tax"), ("revenue", "round(l_extendedprice * (1 - l_discount) * 1.05, 6)"),
+            ("vote_average", "l_quantity / 5"), ("vote_count", "CAST(l_linenumber AS DOUBLE)"),
+        )
     ),
 )
 def melt_all_but(spark, folder):
     rows = films(spark, folder, country=False, genre=False)
-    wide = rows.select(F.col("budget").alias("logit"), "popularity", "vote_average")
+    revenue, votes = F.round("revenue", 6).alias("revenue"), F.col("vote_count").cast("double").alias("vote_count")
+    wide = rows.select(F.col("budget").alias("logit"), "popularity", revenue, "vote_average", votes)
     return reshape.pivot_long(wide, ["logit"], "predictors", "predictor_value")
 
 

@@ -43,11 +43,10 @@ def replace_all(spark, folder):
 @query(
     "map_all_columns",
     "SELECT " + ", ".join(f"regexp_replace(CAST({c} AS VARCHAR), '1', 'one', 'g') AS {c}"
-                          for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")) + " FROM customer",
+                          for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")) + " FROM customer",
 )
 def map_all_columns(spark, folder):
-    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    return recode_all_columns(customers, "1", "one")
+    return recode_all_columns(table(spark, folder, "customer"), "1", "one")
 
 
 @query(

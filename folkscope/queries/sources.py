@@ -102,14 +102,14 @@ def decode_labels(spark, folder):
 
 @query(
     "sink_csv_roundtrip",
-    """SELECT row_number() OVER (ORDER BY n_chars, doc_id) AS "X", doc_id, text, source, n_chars FROM documents""",
+    """SELECT row_number() OVER (ORDER BY n_chars, doc_id) AS "X", doc_id, text, lang, source, n_chars FROM documents""",
 )
 def sink_csv_roundtrip(spark, folder):
     """Whole texts, quotes and line breaks in them, with row numbers in a stated order."""
     path = scratch_path(spark, "csv-indexed")
-    documents = table(spark, folder, "documents").select("doc_id", "text", "source", "n_chars")
+    documents = table(spark, folder, "documents")
     delimited.write_indexed_csv(documents, path, ["n_chars", "doc_id"])
-    schema = "X long, doc_id long, text string, source string, n_chars long"
+    schema = "X long, doc_id long, text string, lang string, source string, n_chars long"
     return delimited.read_csv(spark, path, schema, multi_line=True)
 
 
