@@ -77,8 +77,9 @@ class TextEncoder:
     Where the tokenizer's settings are the known ones, no token crosses from one piece to
     the next, so a text's ids are those of its pieces one after the other, and every piece
     ends in a token with the end-of-word suffix, by which pieces that are encoded together
-    are told apart. What a piece gives is kept while the cache has room; a full cache
-    starts anew. Words with characters beyond ``PLAIN``, whose splitting rules are the
+    are told apart. Such pieces are split and lowered already, so they pass a tokenizer of the
+    same model without these steps. What a piece gives is kept while the cache has room; a
+    full cache starts anew. Words with characters beyond ``PLAIN``, whose splitting rules are the
     tokenizer's alone, are pieces as they stand. With other settings texts go to the
     tokenizer as a whole.
     """
@@ -96,46 +97,65 @@ class TextEncoder:
             and all(t["content"].startswith(SPECIAL) and not t["lstrip"] and not t["rstrip"] for t in made["added_tokens"])
         )
         if self.in_pieces:
-            self.plain, self.piece = re.compile(f"[{PLAIN}]+"), re.compile(PIECE)
+            self.plain, self.piece = re.compile(f"[{PLAIN}]+"), re.compile(f"{PIECE}|\\x20")
+            self.all_plain = "^" + re.sub(r"\\u(....)", r"\\x{\1}", self.plain.pattern) + "$"  # as Arrow writes it
+            bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
+            self.of_pieces = Tokenizer.from_str(json.dumps(made))
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END_OF_WORD)]] = True
             self.reset()
 
     def reset(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = {" ": -1}  # the blank stands between words
+        self.known = 0
         self.held = 0  # characters of the kept pieces
         self.ids = np.zeros(1 << 16, np.uint32)  # of all kept pieces, one after the other
         self.bounds = np.zeros(1 << 14, np.int64)  # where those of each piece begin and end
 
-    def pieces(self, words: list[str]) -> tuple[list[str], list[int]]:
-        """The pieces of all words, and how many each word has."""
-        found: list[str] = []
-        counts = []
-        plain, split = self.plain.fullmatch, self.piece.findall
-        for word in words:
-            part = split(word.lower()) if plain(word) and SPECIAL not in word else [word] if word else []
-            found += part
-            counts.append(len(part))
-        return found, counts
-
-    def learn(self, pieces: list[str]) -> None:
-        plain = self.plain.fullmatch
-        simple, other = [], []
-        for piece in pieces:
-            (simple if plain(piece) and SPECIAL not in piece else other).append(piece)
-        for k in range(0, len(simple), TOGETHER):
-            part = simple[k : k + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+    def split(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the pieces of all words, one word after the other, and how many each word has.
+
+        All plain words are split at once, with a blank between them that tells where one ends.
+        """
+        plain = pc.match_substring_regex(words, self.all_plain)
+        plain = pc.and_not(plain, pc.match_substring(words, SPECIAL))
+        at = plain.to_numpy(zero_copy_only=False)
+        found = self.piece.findall(" ".join(words.filter(plain).to_pylist()).lower())
+        other = words.filter(pc.invert(plain)).to_pylist()
+        known = self.place
+        fresh = set(found).difference(known)
+        fresh.discard(" ")
+        self.learn(list(fresh), list(set(filter(None, other)).difference(known, fresh)))
+        places = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        ends = np.append(np.flatnonzero(places < 0), len(found)) if at.any() else np.zeros(0, np.int64)
+        counts = np.zeros(len(words), np.int64)
+        counts[at] = np.diff(ends, prepend=-1) - 1
+        places = places[places >= 0]
+        whole = np.flatnonzero(~at)
+        if len(whole):  # each of the others is a piece of its own, an empty one none
+            counts[whole] = [1 if word else 0 for word in other]
+            out = np.empty(int(counts.sum()), np.int64)
+            mine = np.repeat(~at, counts)
+            out[mine], out[~mine] = [known[word] for word in other if word], places
+            places = out
+        return places, counts
+
+    def learn(self, pieces: list[str], other: list[str]) -> None:
+        """Encode and keep new pieces: of plain words, many together; and words that the tokenizer itself must split."""
+        for k in range(0, len(pieces), TOGETHER):
+            part = pieces[k : k + TOGETHER]
+            ids = np.array(self.of_pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer split pieces further than its settings say")
             self.keep(part, ids, ends)
-        for piece in other:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32)
-            self.keep([piece], ids, np.array([len(ids)]))
+        for word in other:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+            self.keep([word], ids, np.array([len(ids)]))
 
     def keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        known = len(self.place)
+        known = self.known
         begin = int(self.bounds[known])
         while len(self.bounds) <= known + len(pieces):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
@@ -144,6 +164,7 @@ class TextEncoder:
         self.ids[begin : begin + len(ids)] = ids
         self.bounds[known + 1 : known + 1 + len(pieces)] = begin + ends
         self.place.update(zip(pieces, range(known, known + len(pieces)), strict=True))
+        self.known = known + len(pieces)
         self.held += sum(map(len, pieces))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -156,11 +177,9 @@ class TextEncoder:
         coded = split.flatten().dictionary_encode()
         codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
         bounds = bounds - bounds[0]
-        if len(self.place) > CACHE_PIECES or self.held > CACHE_CHARS:
+        if self.known > CACHE_PIECES or self.held > CACHE_CHARS:
             self.reset()
-        pieces, counts = self.pieces(coded.dictionary.to_pylist())
-        self.learn(list(set(pieces).difference(self.place)))
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        at, counts = self.split(coded.dictionary)
         ids, ends = gathered(self.ids, self.bounds[at], self.bounds[at + 1])  # of the distinct words' pieces
         ends = np.concatenate([[0], ends])
         last = np.cumsum(counts)
