@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from folkscope.llm.decontaminate import cut_words, find_contamination
 from folkscope.llm.mixing import label_weights, mix_sources
-from folkscope.llm.overlap import near_copies
 from folkscope.llm.quality import fit_quality, score_documents
 from folkscope.llm.registry import read_table
+from folkscope.llm.simhash import RADIUS, SHINGLE_WORDS, near_duplicates
 from folkscope.llm.tokens import token_output
 from folkscope.session import scratch_path
 
@@ -56,10 +56,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies; where none has a doc_id, any one.
 
-    Near copies share at least 0.8 of their five-word shingles (Jaccard), over any number of links.
+    Near copies have SimHash fingerprints over three-word shingles that differ in at most 3 of
+    64 bits, over any number of links.
     """
     docs = named(docs)
-    rows = near_copies(docs, carry="name")
+    rows = near_duplicates(docs, RADIUS, SHINGLE_WORDS, carry="name")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("first")
     counted = rows.groupBy("root", "doc_id", "name").agg(F.count(F.lit(1)).alias("rows"))
     chosen = counted.groupBy("root").agg(first).select(F.col("first.name").alias("chosen"))
