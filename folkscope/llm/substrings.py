@@ -18,12 +18,17 @@ with a smaller doc_id. Windows are found in four steps.
 4. Removal. Spans are merged per document and cut from its text.
 
 What lies around an anchor with more than ``CROWDED`` occurrences has a block of its own.
-One with more than ``HOT`` would make a block too large for a task. Its windows go by
-themselves: a 128-bit hash per window, whose smallest doc_id is found with partial
-aggregation. So a passage that a third of all documents share is no burden for any one
-task, and nothing is left out. Both limits bound a block: some 23 anchors stand in a slab of
-512 words, and 92 words lie around an anchor, so it holds about 2.2 million words at most,
-which take a task some 400 MB.
+One with more than ``HOT`` would make a block too large for a task. Each of its places is
+factored against one reference, the text around its first occurrence, which is in the
+smallest document: the factor goes from the anchor to either side as far as both agree, and
+its windows are decided. A window that is not inside the factor reaches the first word that
+differs, on the left or on the right, so it holds the anchor grown to that word. Those two
+longer grams take the anchor's place: what stands in one document only is dropped, what is
+rare enough goes to a block, what is still crowded is factored again. Grams grow with each
+round and end at the length of a window. So a passage that a third of all documents share
+costs a document a few short rows, and nothing is left out or compared by hashes alone. Both
+limits bound a block: some 23 anchors stand in a slab of 512 words, and 92 words lie around
+an anchor, so it holds about 2.2 million words at most, which take a task some 400 MB.
 
 Defined cases: a null text has no words; rows that repeat a doc_id are documents that do
 not count as smaller than each other; a null doc_id counts as larger than any other, and
@@ -51,6 +56,7 @@ SLAB_WORDS = 512
 BLOCK_WORDS = 1 << 19  # words after which a task closes a batch of whole blocks
 CACHE_WORDS = 1 << 19
 LAST = (1 << 63) - 1  # stands for a null doc_id
+ANCHOR_SEED = 0x9E3779B97F4A7C15
 
 
 class WordHashes:
@@ -105,7 +111,7 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     """(place, hash) of the 8-grams that are the least in some window."""
     if len(words) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = run_hashes(words, gram, 0x9E3779B97F4A7C15)
+    grams = run_hashes(words, gram, ANCHOR_SEED)
     width = window - gram + 1
     least = sliding(grams, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
@@ -137,56 +143,45 @@ def find_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, ANCHORS)
 
 
-def passages(places: np.ndarray, keys: np.ndarray, n_words: int, window: int, gram: int) -> Iterator[tuple[int, int, int]]:
-    """(key, begin, end): the words that windows with these anchors reach, joined where anchors of a key follow each other."""
-    before, after = window - gram, window
-    order = np.lexsort((places, keys))
-    places, keys = places[order], keys[order]
-    begin, end = np.maximum(places - before, 0), np.minimum(places + after, n_words)
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (begin[1:] > end[:-1])])
+def passages(places: np.ndarray, sizes: np.ndarray, keys: np.ndarray, n_words: int, window: int) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end): the words that windows with these grams reach, joined where grams of a key follow each other."""
+    order = np.lexsort((places, sizes, keys))
+    places, sizes, keys = places[order], sizes[order], keys[order]
+    begin, end = np.maximum(places + sizes - window, 0), np.minimum(places + window, n_words)
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1]) | (begin[1:] > end[:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(places) - 1]])
     yield from zip(keys[first].tolist(), begin[first].tolist(), end[last].tolist(), strict=True)
 
 
-SENT = "key long, check long, doc_id long, tag long, begin int, words int, text binary"
+SENT = "key long, doc_id long, tag long, begin int, words int, text binary"
 SENT_ARROW = pa.schema([
-    ("key", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()),
+    ("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()),
     ("begin", pa.int32()), ("words", pa.int32()), ("text", pa.binary()),
 ])
 
 
-def cut_passages(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """The passages of every document for its blocks, with their text, and its windows at hot anchors, as hashes.
+def cut_passages(marked: DataFrame, window: int) -> DataFrame:
+    """The passages of every document for its blocks, with their text.
 
-    ``marked`` has doc_id, tag, text and marks: (place, key, hot).
+    ``marked`` has doc_id, tag, text and marks: (place, size, key).
     """
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SENT_ARROW, strict=True)], schema=SENT_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             ids, tags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary())
             for doc_id, tag, text, marks in zip(ids, tags, texts, batch.column(3), strict=True):
                 words = (text.as_py() or b"").split()
-                marks = marks.values
-                places, keys = marks.field(0).to_numpy().astype(np.int64), marks.field(1).to_numpy()
-                hot = marks.field(2).to_numpy(zero_copy_only=False)
-                if not hot.all():
-                    for key, begin, end in passages(places[~hot], keys[~hot], len(words), window, gram):
-                        piece = b" ".join(words[begin:end])
-                        rows.append((key, None, doc_id, tag, begin, end - begin, piece))
-                        size += len(piece)
-                if hot.any():
-                    numbers = hashes.of(words)
-                    one, two = (run_hashes(numbers, window, seed).view(np.int64) for seed in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-                    starts = (places[hot][:, None] - np.arange(window - gram + 1)).ravel()
-                    starts = np.unique(starts[(starts >= 0) & (starts < len(one))])
-                    rows += [(a, b, doc_id, tag, s, window, None) for a, b, s in zip(one[starts].tolist(), two[starts].tolist(), starts.tolist(), strict=True)]
+                places, sizes, keys = (marks.values.field(k).to_numpy().astype(np.int64) for k in range(3))
+                for key, begin, end in passages(places, sizes, keys, len(words), window):
+                    piece = b" ".join(words[begin:end])
+                    rows.append((key, doc_id, tag, begin, end - begin, piece))
+                    size += len(piece)
                 if size > 1 << 24 or len(rows) > 1 << 16:
                     yield packed(rows)
                     rows, size = [], 0
@@ -196,6 +191,117 @@ def cut_passages(marked: DataFrame, window: int, gram: int) -> DataFrame:
     return marked.select("doc_id", "tag", "text", "marks").mapInArrow(run, SENT)
 
 
+def shared_grams(found: DataFrame, crowded: int, hot: int, slab: int) -> DataFrame:
+    """Grams that stand in different documents, once each: the block of what is around them, the first occurrence, whether hot."""
+    first = F.min(F.struct("doc_id", "tag", "place")).alias("first")
+    counted = found.groupBy("gram").agg(first, F.max("doc_id").alias("last"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    near_first = F.xxhash64("first.doc_id", F.floor(F.col("first.place") / slab))
+    # Written first: the join then has a plain shuffle on either side, and AQE can split what one gram fills.
+    return materialise(
+        counted.where("first.doc_id < last").select(
+            F.col("gram").alias("shared_gram"), "first", F.col("size").alias("shared_size"),
+            F.when(F.col("n") > crowded, F.xxhash64("gram", "size")).otherwise(near_first).alias("key"),
+            (F.col("n") > hot).alias("hot"),
+        ),
+        "shared-grams",
+    )
+
+
+def references(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """(gram_of, at, passage): the words that windows with a gram's first occurrence reach; the gram is the at-th."""
+    places = shared.groupBy(F.col("first.doc_id").alias("r_id"), F.col("first.tag").alias("r_tag")).agg(
+        F.collect_list(F.struct("shared_gram", F.col("first.place").alias("place"), F.col("shared_size").alias("size"))).alias("places")
+    )
+    held = docs.join(places, (F.col("doc_id") == F.col("r_id")) & (F.col("tag") == F.col("r_tag"))).select("text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, places in zip(batch.column(0).cast(pa.large_binary()), batch.column(1).to_pylist(), strict=True):
+                words = text.as_py().split()
+                for p in places:
+                    begin = max(p["place"] + p["size"] - window, 0)
+                    rows.append((p["shared_gram"], p["place"] - begin, b" ".join(words[begin : p["place"] + window])))
+            types = (pa.int64(), pa.int32(), pa.binary())
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram_of", "at", "passage"])
+
+    return held.mapInArrow(run, "gram_of long, at int, passage binary")
+
+
+def agreement(words: list[bytes], place: int, size: int, reference: list[bytes], at: int) -> tuple[int, int]:
+    """The factor around a gram: from where to where the words agree with the reference. Empty if the grams differ."""
+    if words[place : place + size] != reference[at : at + size]:
+        return place, place
+    begin, end = place, place + size
+    while begin and begin - place + at and words[begin - 1] == reference[begin - 1 - place + at]:
+        begin -= 1
+    while end < len(words) and end - place + at < len(reference) and words[end] == reference[end - place + at]:
+        end += 1
+    return begin, end
+
+
+GROWN = "gram long, doc_id long, tag long, place int, size int"
+GROWN_ARROW = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("place", pa.int32()), ("size", pa.int32())])
+
+
+def factor_hot(docs: DataFrame, found: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
+    """Places of hot grams, factored against their references.
+
+    Rows with a null gram are duplicate spans (place, size); the others are grams grown to the
+    first word that differs. ``shared`` has hot grams only. A place of a plain anchor, of
+    ``gram`` words, grows only to words of windows in which it is the least gram.
+    """
+    refs = materialise(references(docs, shared, window), "references")
+    places = (
+        found.join(shared, F.col("gram") == F.col("shared_gram"))
+        # The reference itself has no window outside its own factor.
+        .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("tag") != F.col("first.tag")) | (F.col("place") != F.col("first.place")))
+        .select("gram", F.col("doc_id").alias("p_id"), F.col("tag").alias("p_tag"), "place", "size", (F.col("doc_id") > F.col("first.doc_id")).alias("later"))
+        .join(refs, F.col("gram") == F.col("gram_of"))
+        .groupBy("p_id", "p_tag")
+        .agg(F.collect_list(F.struct("place", "size", "later", "at", "passage")).alias("places"))
+    )
+    held = docs.join(places, (F.col("doc_id") == F.col("p_id")) & (F.col("tag") == F.col("p_tag"))).select("doc_id", "tag", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashes = WordHashes()
+        for batch in batches:
+            rows: list[tuple] = []
+            ids, tags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary())
+            for doc_id, tag, text, places in zip(ids, tags, texts, batch.column(3).to_pylist(), strict=True):
+                words = text.as_py().split()
+                grams = run_hashes(hashes.of(words), gram, ANCHOR_SEED)
+                least = sliding(grams, window - gram + 1, np.minimum)
+                spans: list[tuple[int, int]] = []
+                grown: set[tuple[int, int, int]] = set()  # begin, end, seed of the hash
+                for p in places:
+                    place, size = p["place"], p["size"]
+                    stop = place + size
+                    begin, end = agreement(words, place, size, p["passage"].split(b" "), p["at"])
+                    if begin == end:  # other words of the same hash: a gram by another hash
+                        grown.add((place, stop, 37))
+                        continue
+                    if p["later"] and end - begin >= window:
+                        spans.append((begin, end))
+                    for a, b in ((begin - 1, stop), (place, end + 1)):
+                        if a < 0 or b > len(words) or b - a > window:
+                            continue
+                        holds = least[max(b - window, 0) : a + 1]  # of the windows that hold the grown gram
+                        if len(holds) and (size > gram or (holds == grams[place]).any()):
+                            grown.add((a, b, 29))
+                rows += [(None, doc_id, tag, a, b - a) for a, b in merge_spans(np.array(spans, np.int64).reshape(-1, 2))]
+                for a, b, seed in grown:
+                    number = xxhash.xxh64_intdigest(b" ".join(words[a:b]), seed)
+                    rows.append((number - (number >> 63 << 64), doc_id, tag, a, b - a))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, GROWN_ARROW, strict=True)], schema=GROWN_ARROW)
+
+    return held.mapInArrow(run, GROWN)
+
+
 class ReferenceBlock:
     """Distinct passages, each with its smallest document, as one text with a suffix array over it."""
 
@@ -320,37 +426,24 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     ``docs`` has doc_id and tag, not null, and text; the two name a row.
     """
     found = materialise(find_anchors(docs, window, gram), "anchors")
-    shared = (
-        found.groupBy("anchor")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-        .where("first.doc_id < last")
-        .select(
-            F.col("anchor").alias("shared_anchor"),
-            F.when(F.col("n") > crowded, F.xxhash64("anchor"))
-            .otherwise(F.xxhash64("first.doc_id", F.floor(F.col("first.place") / slab)))
-            .alias("key"),
-            (F.col("n") > hot).alias("hot"),
-        )
-    )
-    # Written first: the join then has a plain shuffle on either side, and AQE can split what one anchor fills.
-    shared = materialise(shared, "shared-anchors")
-    marks = (
-        found.join(shared, F.col("anchor") == F.col("shared_anchor"))
-        .groupBy(F.col("doc_id").alias("marked_id"), F.col("tag").alias("marked_tag"))
-        .agg(F.collect_list(F.struct("place", "key", "hot")).alias("marks"))
-    )
+    found = found.select(F.col("anchor").alias("gram"), "doc_id", "tag", "place", F.lit(gram).alias("size"))
+    shared = shared_grams(found, crowded, hot, slab)
+    marks = found.join(shared.where("not hot"), F.col("gram") == F.col("shared_gram")).select("doc_id", "tag", "place", "size", "key")
+    decided: list[DataFrame] = []
+    while not (crowd := shared.where("hot")).isEmpty():
+        grown = materialise(factor_hot(docs, found, crowd, window, gram), "grown-grams")
+        decided.append(grown.where("gram is null").select("doc_id", "tag", F.col("place").cast("long").alias("begin"), (F.col("place") + F.col("size")).cast("long").alias("end")))
+        found = grown.where("gram is not null")
+        shared = shared_grams(found, 0, hot, slab)  # each grown gram has a block of its own
+        marks = marks.unionByName(found.join(shared.where("not hot"), F.col("gram") == F.col("shared_gram")).select("doc_id", "tag", "place", "size", "key"))
+    marks = marks.groupBy(F.col("doc_id").alias("marked_id"), F.col("tag").alias("marked_tag")).agg(F.collect_list(F.struct("place", "size", "key")).alias("marks"))
     marked = docs.join(marks, (F.col("doc_id") == F.col("marked_id")) & (F.col("tag") == F.col("marked_tag")))
     path = scratch_path(docs.sparkSession, "passages")
-    cut_passages(marked, window, gram).write.option("compression", "zstd").parquet(path)
-    sent = docs.sparkSession.read.schema(SENT).parquet(path)
-
-    by_block = parse_blocks(sent.where("text is not null"), window)
-    windows = sent.where("text is null").select("key", "check", "doc_id", "tag", "begin")
-    least = windows.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    least = least.select(F.col("key").alias("k"), F.col("check").alias("c"), "least")
-    by_window = windows.join(least, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")) & (F.col("doc_id") > F.col("least")))
-    begin = F.col("begin").cast("long")
-    return by_block.unionByName(by_window.select("doc_id", "tag", begin.alias("begin"), (begin + window).alias("end")))
+    cut_passages(marked, window).write.option("compression", "zstd").parquet(path)
+    spans = parse_blocks(docs.sparkSession.read.schema(SENT).parquet(path), window)
+    for more in decided:
+        spans = spans.unionByName(more)
+    return spans
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, hot: int = HOT, slab: int = SLAB_WORDS) -> DataFrame:
