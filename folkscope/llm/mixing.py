@@ -1,8 +1,8 @@
 """Mixing sources to target weights: weighted sampling without replacement to word budgets.
 
 Each document draws an exponential key, ``-ln(u) / weight`` (Efraimidis and Spirakis,
-"Weighted random sampling with a reservoir", 2006); ``u`` comes from a digest of its id, so
-reruns agree. A source takes whole epochs of all its documents first, then, in order of
+"Weighted random sampling with a reservoir", 2006); ``u`` comes from a digest of its id, size
+and text, so reruns agree and rows of one id, or of none, do not share a key unless they are equal. A source takes whole epochs of all its documents first, then, in order of
 the keys, documents until the rest of its target is met. Sums of sizes in key order are
 formed in two levels: per slice of the key range, then within a slice, so a source with a
 third of all rows is spread over many tasks.
@@ -34,9 +34,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from the id: 52 bits of its MD5."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")))
+def uniform(doc_id: Column, size: Column, text_digest: Column) -> Column:
+    """A number in (0, 1) from the id, the size and the text: 52 bits of an MD5. Rows that share an id, or have none, still spread."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"), text_digest))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -86,14 +86,15 @@ def mix_sources(
     """
     also = [carry] if carry else []
     size = word_count(F.col("text").cast("string")).alias("size")
-    sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size, *also)
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_digest")
+    sizes = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size, digest, *also)
     if weights is not None:
         named = weights.select(F.col("doc_id").cast("long").alias("weighted_id"), "weight")
         sizes = sizes.join(named, F.col("doc_id") == F.col("weighted_id"), "left").drop("weighted_id")
     else:
         sizes = sizes.withColumn("weight", F.lit(1.0))
     usable = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
-    keyed = sizes.select("doc_id", "source", "size", *also, (-F.log(uniform(F.col("doc_id"))) / usable).alias("key"))
+    keyed = sizes.select("doc_id", "source", "size", *also, (-F.log(uniform(F.col("doc_id"), F.col("size"), F.col("text_digest"))) / usable).alias("key"))
     keyed = materialise(keyed, "mix-keys")  # words are counted once, and every pass sees the same keys
 
     targets = source_targets(keyed, cycle, total_share, max_epochs)
@@ -143,13 +144,14 @@ def label_weights(labels: DataFrame) -> DataFrame:
 MIX_SQL = """
 WITH s AS (
     SELECT doc_id, source, CASE WHEN text IS NULL THEN 0
-        ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents
+        ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
+        md5(coalesce(text, '')) AS text_digest FROM documents
 ), w AS (
     SELECT doc_id AS weighted_id, pow(2.0, 2 * avg(quality::DOUBLE) - 1) AS weight FROM labels
     WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), k AS (
     SELECT doc_id, source, size,
-        -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+        -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || size || ':' || text_digest), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
             / CASE WHEN weight > 0 THEN weight ELSE 1.0 END AS key
     FROM s LEFT JOIN w ON doc_id = weighted_id
 ), p AS (
