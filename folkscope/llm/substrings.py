@@ -19,11 +19,12 @@ with a smaller doc_id. Windows are found in four steps.
 
 What lies around an anchor with more than ``CROWDED`` occurrences has a block of its own.
 One with more than ``HOT`` would make a block too large for a task. Its windows go by
-themselves: a 128-bit hash per window, whose smallest doc_id is found with partial
-aggregation. So a passage that a third of all documents share is no burden for any one
-task, and nothing is left out. Both limits bound a block: some 23 anchors stand in a slab of
-512 words, and 92 words lie around an anchor, so it holds about 2.2 million words at most,
-which take a task some 400 MB.
+themselves: a 128-bit hash per distinct window of a document, with all its places there, so
+that a line which a document repeats hundreds of times sends a few rows and not one per
+place. The smallest doc_id of a hash is found with partial aggregation. So a passage that a
+third of all documents share is no burden for any one task, and nothing is left out. Both
+limits bound a block: some 23 anchors stand in a slab of 512 words, and 92 words lie around an
+anchor, so it holds about 2.2 million words at most, which take a task some 400 MB.
 
 Defined cases: a null text has no words; rows that repeat a doc_id are documents that do
 not count as smaller than each other; a null doc_id counts as larger than any other, and
@@ -149,15 +150,30 @@ def passages(places: np.ndarray, keys: np.ndarray, n_words: int, window: int, gr
     yield from zip(keys[first].tolist(), begin[first].tolist(), end[last].tolist(), strict=True)
 
 
-SENT = "key long, check long, doc_id long, tag long, begin int, words int, text binary"
+def spans_of_windows(one: np.ndarray, two: np.ndarray, starts: np.ndarray, window: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(hash, second hash, spans) of every distinct window that begins at one of these places: the words that its places cover, merged."""
+    a, b = one[starts], two[starts]
+    order = np.lexsort((starts, b, a))
+    starts, a, b = starts[order], a[order], b[order]
+    other = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    apart = other | np.concatenate([[True], starts[1:] > starts[:-1] + window])
+    begin, last = starts[apart], np.flatnonzero(np.concatenate([apart[1:], [True]]))
+    spans = list(zip(begin.tolist(), (starts[last] + window).tolist(), strict=True))
+    first = np.flatnonzero(other[apart])
+    for i, j, k in zip(first.tolist(), [*first[1:].tolist(), len(spans)], np.flatnonzero(other).tolist(), strict=True):
+        yield int(a[k]), int(b[k]), spans[i:j]
+
+
+SENT = "key long, check long, doc_id long, tag long, begin int, words int, text binary, spans array<struct<begin:long,end:long>>"
 SENT_ARROW = pa.schema([
     ("key", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()),
     ("begin", pa.int32()), ("words", pa.int32()), ("text", pa.binary()),
+    ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
 ])
 
 
 def cut_passages(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """The passages of every document for its blocks, with their text, and its windows at hot anchors, as hashes.
+    """The passages of every document for its blocks, with their text, and its distinct windows at hot anchors, as hashes with their places.
 
     ``marked`` has doc_id, tag, text and marks: (place, key, hot).
     """
@@ -179,14 +195,15 @@ def cut_passages(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 if not hot.all():
                     for key, begin, end in passages(places[~hot], keys[~hot], len(words), window, gram):
                         piece = b" ".join(words[begin:end])
-                        rows.append((key, None, doc_id, tag, begin, end - begin, piece))
+                        rows.append((key, None, doc_id, tag, begin, end - begin, piece, None))
                         size += len(piece)
                 if hot.any():
                     numbers = hashes.of(words)
                     one, two = (run_hashes(numbers, window, seed).view(np.int64) for seed in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
                     starts = (places[hot][:, None] - np.arange(window - gram + 1)).ravel()
                     starts = np.unique(starts[(starts >= 0) & (starts < len(one))])
-                    rows += [(a, b, doc_id, tag, s, window, None) for a, b, s in zip(one[starts].tolist(), two[starts].tolist(), starts.tolist(), strict=True)]
+                    if len(starts):
+                        rows += [(a, b, doc_id, tag, None, None, None, [{"begin": x, "end": y} for x, y in at]) for a, b, at in spans_of_windows(one, two, starts, window)]
                 if size > 1 << 24 or len(rows) > 1 << 16:
                     yield packed(rows)
                     rows, size = [], 0
@@ -315,7 +332,7 @@ def merge_spans(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, hot: int = HOT, slab: int = SLAB_WORDS) -> DataFrame:
-    """(doc_id, tag, begin, end) in words, unmerged: where a document repeats a smaller one.
+    """(doc_id, tag, spans) with begin and end in words, unmerged: where a document repeats a smaller one.
 
     ``docs`` has doc_id and tag, not null, and text; the two name a row.
     """
@@ -345,12 +362,12 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     sent = docs.sparkSession.read.schema(SENT).parquet(path)
 
     by_block = parse_blocks(sent.where("text is not null"), window)
-    windows = sent.where("text is null").select("key", "check", "doc_id", "tag", "begin")
+    windows = sent.where("text is null").select("key", "check", "doc_id", "tag", "spans")
     least = windows.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    least = least.select(F.col("key").alias("k"), F.col("check").alias("c"), "least")
+    # Written first, as the anchors above: a window that very many documents share is split over tasks.
+    least = materialise(least.select(F.col("key").alias("k"), F.col("check").alias("c"), "least"), "least-documents")
     by_window = windows.join(least, (F.col("key") == F.col("k")) & (F.col("check") == F.col("c")) & (F.col("doc_id") > F.col("least")))
-    begin = F.col("begin").cast("long")
-    return by_block.unionByName(by_window.select("doc_id", "tag", begin.alias("begin"), (begin + window).alias("end")))
+    return by_block.select("doc_id", "tag", F.array(F.struct("begin", "end")).alias("spans")).unionByName(by_window.select("doc_id", "tag", "spans"))
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, hot: int = HOT, slab: int = SLAB_WORDS) -> DataFrame:
@@ -359,7 +376,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, c
     # Rows that repeat a doc_id are told apart by their text.
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     spans = duplicate_spans(docs, window, gram, crowded, hot, slab)
-    spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = docs.join(spans, (F.col("doc_id") == F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,3 +108,22 @@ def test_factors_cross_their_ends():
             if any(texts[k][i : i + 4] in texts[j] for j in range(k)):
                 want |= set(range(i, i + 4))
         assert gone == want
+
+
+def test_a_line_that_a_document_repeats_sends_its_windows_once(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    texts = [" ".join([*(f"u{rng.random()}" for _ in range(30)), *["is", "on"] * 400, f"e{k}", *["is", "on"] * 300]) for k in range(6)]
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, tag long, text string")
+    marks = S.find_anchors(docs, 20, 4).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", F.lit(1).cast("long").alias("key"), F.lit(True).alias("hot"))).alias("marks"))
+    sent = S.cut_passages(docs.join(marks, ["doc_id", "tag"]), 20, 4).collect()
+    for k, text in enumerate(texts):
+        rows = [r for r in sent if r.doc_id == k]
+        words = text.split()
+        assert len(rows) < 100 and len(words) > 1400
+        assert len({(r.key, r.check) for r in rows}) == len(rows) == len({tuple(words[i : i + 20]) for i in range(len(words) - 19)})
+        for r in rows:
+            window = words[r.spans[0].begin : r.spans[0].begin + 20]
+            places = [i for i in range(len(words) - 19) if words[i : i + 20] == window]
+            assert {i for a, b in r.spans for i in range(a, b)} == {i + j for i in places for j in range(20)}
