@@ -46,10 +46,13 @@ def level_index(df: DataFrame, level: str, order_by: list[str | Column], name: s
     """Number the rows of every level in a stated order, from 1.
 
     All rows are numbered level after level, and each level's first number is taken off;
-    a level that holds most rows is sorted by many tasks, unlike in a window.
+    a level that holds most rows is sorted by many tasks, unlike in a window. The first
+    numbers are written before they are joined: a few levels are broadcast then, so rows
+    are not dealt by level, and the join of many levels can split those that hold most rows.
     """
     numbered = materialise(row_index(df, [level, *order_by], "_index"), "numbered")
     first = numbered.groupBy(F.col(level).alias("_level")).agg(F.min("_index").alias("_first"))
+    first = materialise(first, "first-numbers")
     joined = numbered.join(first, F.col(level).eqNullSafe(F.col("_level")))
     return joined.select((F.col("_index") - F.col("_first") + 1).alias(name), *df.columns)
 

@@ -44,6 +44,17 @@ def test_group_totals_do_not_shuffle_the_rows(spark):
     assert "Window" not in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_numbers_inside_levels_do_not_shuffle_the_rows_by_level(spark):
+    rows = spark.range(50_000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")  # under the rows, over the levels
+    try:
+        numbered = ordering.level_index(rows, "k", ["v"])
+        assert "BroadcastHashJoin" in plan_of(numbered) and "Exchange hashpartitioning" not in plan_of(numbered)
+        assert numbered.groupBy("k").agg(F.max("index")).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_films_are_not_shuffled_by_country(spark):
     films = spark.range(1000).select(F.lit("X").alias("production_countries_name"), "id")
     countries = spark.createDataFrame([("X", "High income")], "country string, income_level string")
